@@ -67,8 +67,9 @@ def _remove() -> None:
 
 
 def limit_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows of long text in an Arrow batch; bounds a Python worker's memory."""
+    """Rows and bytes in an Arrow batch; bounds a Python worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
 
 
 def map_columns(
