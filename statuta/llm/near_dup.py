@@ -8,11 +8,12 @@ the Jaccard similarity with Chernoff-type bounds in O(n + t log t) hash evaluati
 Plan
 1. One pass over the texts: set size, a 128-bit fingerprint of the full shingle set, and band keys of the sketch.
 2. Rows with equal sets form a class by their fingerprint; only its least id goes on, so thousands of copies are one node.
-3. Each band bucket links its members to its least member (a star: rows stay linear in the bucket), each such pair
-   is confirmed on the full sets, and confirmed links give components.
-4. Buckets that still hold several components are checked in square blocks of members: a task compares two blocks of
-   bounded size on the full sets and emits no more than a forest of confirmed links between components.  So no
-   candidate pair of a bucket is skipped, and no row per pair is made.
+3. Each band bucket ties its members to its least member, its head (a star: rows stay linear in the bucket).  Each
+   member is compared with the least of its heads on the full sets; confirmed links give components.
+4. What the stars bring together is a group.  Groups that hold several components are checked in square blocks of
+   members: a task compares two blocks of bounded size on the full sets and emits no more than a forest of confirmed
+   links between components.  Of a group beyond GROUP_MOST members, each bucket is dealt into blocks instead.  So no
+   candidate pair is skipped, no row per pair is made, and a set is sent once for each block that it meets.
 5. Components of all confirmed links.
 
 With ``bands`` bands of ``rows`` coordinates a link at the threshold is missed with probability (1 - s^rows)^bands; rows
@@ -34,7 +35,8 @@ from ._io import map_columns, materialize, ship
 from ._words import mix, shingle_sets
 from .components import connected_components
 
-BLOCK = 256
+BLOCK = 1024
+GROUP_MOST = 16 * BLOCK
 _U = np.uint64
 
 
@@ -148,7 +150,6 @@ def _block_links(num: int, den: int):
     """Grouped kernel over two blocks of a bucket: links between components, as a forest."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["side", "id"])
         side, ids, comp = pdf["side"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
         sets = [np.asarray(s, dtype=np.int64) for s in pdf["shingles"]]
         size = np.array([len(s) for s in sets])
@@ -203,29 +204,34 @@ def confirmed_links(feats: DataFrame, docs: DataFrame, id_col: str, text_col: st
     # equal buckets of several bands are one
     heads = materialize(heads.groupBy("head", "m", "who").agg(F.min(F.struct("band", "key")).alias("b")).select("head", "m", "b.band", "b.key"), "heads")
     members = materialize(slots.join(heads, ["band", "key"]), "members")
-    pairs = materialize(members.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    pairs = members.where("id <> head").select("id", "head").distinct()
+    involved = pairs.select("id").union(pairs.select(F.col("head").alias("id"))).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
     # rows of one id that differ in text are one node; each of its sets may link it
     sets = materialize(full_sets(texts, "id", "text", words, kind).where(F.size("shingles") > 0), "sets")
     ship(docs.sparkSession)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    star = materialize(both.select("a", "b", "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long"), "star")
-    comps = connected_components(star)
-    placed = members.where("m > 2").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_ = placed.groupBy("band", "key").agg(F.count_distinct("comp").alias("c")).where("c > 1").select("band", "key")
-    left = materialize(placed.join(open_, ["band", "key"]).select("band", "key", "id", "comp", "m"), "open")
-    # the members of a bucket, dealt into blocks of about BLOCK; every pair of blocks is one task's group
-    blocks = left.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.expr("cast(pmod(xxhash64(id, 7), nb) as int)"))
+    # first each member with the least of its heads: this settles most groups with one comparison a member
+    first = pairs.groupBy("id").agg(F.min("head").alias("head")).join(sets.withColumnRenamed("shingles", "sb"), "id")
+    both = first.join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("sa")), "head")
+    star = materialize(both.select(F.col("head").alias("a"), F.col("id").alias("b"), "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long"), "star")
+    comps = connected_components(star).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    # what the bands bring together, directly or not, is a group; one that is a single component by now needs no more
+    groups = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    placed = groups.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    open_ = placed.groupBy("grp").agg(F.count_distinct("comp").alias("c"), F.count("*").alias("m")).where("c > 1").drop("c")
+    left = materialize(placed.join(open_, "grp"), "open")
+    small = left.where(F.col("m") <= GROUP_MOST).select(F.col("grp").alias("g"), F.lit(-1).alias("band"), "id", "comp", "m")
+    # of a larger group only members of one bucket are compared
+    large = left.where(F.col("m") > GROUP_MOST).select("id", "comp").join(members.drop("head"), "id").select(F.col("key").alias("g"), "band", "id", "comp", "m")
+    # members are dealt into blocks of about BLOCK; every pair of blocks is one task's group
+    blocks = small.union(large).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.expr("cast(pmod(xxhash64(id, 7), nb) as int)"))
     tasks = blocks.select(
-        "band", "key", "id", "comp",
+        "g", "band", "id", "comp",
         F.explode(
             F.expr("transform(sequence(0, nb - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j), 'side', if(i <= j, 0, 1)))")
         ).alias("t"),
-    ).select("band", "key", "id", "comp", "t.lo", "t.hi", "t.side")
-    more = tasks.join(sets, "id").groupBy("band", "key", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long")
+    ).select("g", "band", "id", "comp", "t.lo", "t.hi", "t.side")
+    more = tasks.join(sets, "id").groupBy("g", "band", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long")
     return star.union(materialize(more, "more"))
 
 
