@@ -117,7 +117,7 @@ def decode(videos: list[Video]) -> list[Decoded]:
     groups: dict[mjpeg.Layout, list[tuple[int, int, bytes, int]]] = {}
     for v, video in enumerate(videos):
         for i, frame in enumerate(video.frames):
-            layout, start = mjpeg.parse_frame(frame)
+            layout, start = mjpeg.frame_layout(frame)
             groups.setdefault(layout, []).append((v, i, frame, start))
     hist = [np.zeros((len(v.frames), BINS), np.int64) for v in videos]
     wanted = [v.info.get("ICMT", b"").startswith(b"payload ") for v in videos]
@@ -210,27 +210,39 @@ def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
     return map_columns(media, [id_col, media_col], kernel, schema).withColumnRenamed("id", id_col)
 
 
-def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id_col, payload, media_sha256, feature) of each stored file; feature: frames, size, clip ends and a hash of the histograms."""
+def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, *keep, payload, media_bytes, media_sha256, feature) of each stored file.
+
+    payload: the stored bytes, empty where the file holds none; feature: frames, size, ends of the clips and a hash of the
+    histograms.  Null, empty and broken files: no frames and an empty payload.  Repeated rows give equal rows.
+    """
+    kept = [media.schema[c] for c in keep]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in _batched(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))):
+            files, lo = batch.column(1).to_pylist(), 0
+            for rows in _batched([(None, m) for m in files]):
                 videos = [_read(m) for _, m in rows]
                 decoded = decode(videos)
                 feature = [
                     f"{len(v.frames)}x{v.width}x{v.height};clips={','.join(f'{a}-{b}' for a, b in shots(d.histograms))};hist={zlib.crc32(d.histograms.astype('<i8').tobytes()):08x}"
                     for v, d in zip(videos, decoded, strict=True)
                 ]
+                part = batch.slice(lo, len(rows))
+                lo += len(rows)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], batch.column(0).type),
+                        part.column(0),
+                        *part.columns[2:],
                         pa.array([d.stored for d in decoded], pa.binary()),
-                        pa.array([hashlib.sha256(m or b"").hexdigest() for _, m in rows]),
-                        pa.array(feature),
+                        pa.array([len(m or b"") for _, m in rows], pa.int64()),
+                        pa.array([hashlib.sha256(m or b"").hexdigest() for _, m in rows], pa.string()),
+                        pa.array(feature, pa.string()),
                     ],
-                    ["id", "payload", "media_sha256", "feature"],
+                    ["id", *keep, "payload", "media_bytes", "media_sha256", "feature"],
                 )
 
-    schema = f"id {media.schema[id_col].dataType.simpleString()}, payload binary, media_sha256 string, feature string"
-    return map_columns(media, [id_col, media_col], kernel, schema).withColumnRenamed("id", id_col)
+    schema = ", ".join(
+        [f"id {media.schema[id_col].dataType.simpleString()}", *[f"{f.name} {f.dataType.simpleString()}" for f in kept], "payload binary, media_bytes long, media_sha256 string, feature string"]
+    )
+    return map_columns(media, [id_col, media_col, *keep], kernel, schema).withColumnRenamed("id", id_col)

@@ -154,6 +154,23 @@ def parse_frame(frame: bytes) -> tuple[Layout, int]:
             raise ValueError("only baseline frames are read")
 
 
+_known_headers: dict[bytes, tuple[Layout, int]] = {}
+
+
+def frame_layout(frame: bytes) -> tuple[Layout, int]:
+    """:func:`parse_frame`, parsing equal headers once; a header ends with its scan's segment."""
+    end = frame.find(b"\xff\xda")
+    head = frame[: end + 2 + int.from_bytes(frame[end + 2 : end + 4], "big")] if end >= 0 else b""
+    found = _known_headers.get(head)
+    if found is None:
+        found = parse_frame(frame)
+        if len(_known_headers) >= 256:
+            _known_headers.clear()
+        if found[1] == len(head):
+            _known_headers[head] = found
+    return found
+
+
 def coefficients(frames: list[bytes], starts: list[int], layout: Layout) -> list[np.ndarray]:
     """For each component: quantised coefficients (frames, rows of blocks, columns of blocks, 64) in scan order."""
     hmax, vmax = max(p.h for p in layout.parts), max(p.v for p in layout.parts)
