@@ -29,8 +29,6 @@ from ._io import map_columns, strings
 
 KNOWN_MOST = 500_000
 PIECES_AT_ONCE = 400_000
-#: Fixed value: the published split pattern of byte-level vocabularies.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -40,25 +38,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def fast_pattern() -> re.Pattern:
-    """SPLIT for the standard library's faster matcher, with its classes spelled out as ranges."""
+# Characters with the White_Space property.
+_SPACE = r"\t-\r\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def ranges(cls: str) -> str:
-        one = regex.compile(rf"[{cls}]")
-        inside = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and one.match(chr(c))]
-        out, lo = [], None
-        for a, b in zip(inside, [*inside[1:], None], strict=True):
-            lo = a if lo is None else lo
-            if b != a + 1:
-                out.append(f"\\U{lo:08x}-\\U{a:08x}")
-                lo = None
-        return "".join(out)
 
-    space = r"\t-\r\x20\x85\xa0  -     　"
-    letter, number = ranges(r"\p{L}"), ranges(r"\p{N}")
-    return re.compile(
-        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
-    )
+def split_pattern() -> regex.Pattern:
+    """The published split pattern of byte-level vocabularies, white space spelled out: the matcher's own class also holds information separators."""
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
 
 class Codec:
@@ -87,7 +73,7 @@ class Codec:
         for i in vocab.values():
             self.matches.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.matches.make_automaton()
-        self.split = fast_pattern()
+        self.split = split_pattern()
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._fits: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
