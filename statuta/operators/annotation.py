@@ -62,7 +62,7 @@ def merged_rows(links: DataFrame, by: list[str]) -> DataFrame:
     cols = ["article", "point_article", "subpoint_article"]
     seq = F.sort_array(F.collect_list(F.struct("link_ord", *cols)))
     grouped = links.groupBy(*by, "law_id").agg(seq.alias("ls"))
-    values = {c: F.array_distinct(F.filter(F.transform("ls", lambda x, c=c: x[c]), lambda v: v.isNotNull())) for c in cols}
+    values = {c: F.array_distinct(F.filter(F.col(f"ls.{c}"), lambda v: v.isNotNull())) for c in cols}
     size = F.lit(1)
     for c in cols:
         size = size * F.greatest(F.lit(1), F.size(values[c]))

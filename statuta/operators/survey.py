@@ -32,7 +32,7 @@ def screen(votes: DataFrame, items: DataFrame) -> DataFrame:
         F.count("*").alias("answers"),
         F.count_if(control).alias("controls"),
         F.count_if(control & is_right(F.col("answer"), F.col("expected"))).alias("right"),
-        F.expr("percentile_disc(0.5) within group (order by coalesce(ms, 0) desc)").alias("median_ms"),
+        F.expr("percentile_disc(0.5) within group (order by coalesce(ms, 0) desc)").cast("long").alias("median_ms"),
     )
     accuracy = F.when(F.col("controls") > 0, F.col("right") / F.col("controls"))
     return stats.withColumn("accuracy", accuracy).withColumn("kept", (F.col("controls") >= MIN_CONTROLS) & F.coalesce(F.col("accuracy") >= MIN_ACCURACY, F.lit(False)))
