@@ -20,7 +20,7 @@ from ._io import map_columns, materialize, ship
 from ._words import mix, word_hashes
 
 BUCKET_BITS = 20
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 _U = np.uint64
 
 
@@ -75,10 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words, at = word_hashes(part.column(2))
                 v = [_vector(words[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in v]))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in ([b for b, _ in v], [x.astype(np.float32) for _, x in v])]
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in ([b.astype(np.int32) for b, _ in v], [x.astype(np.float32) for _, x in v])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["h", "y", "at", "x"])
 
-    vectors = materialize(map_columns(rows, ["h", "y", "text"], kernel, "h long, y int, at array<long>, x array<float>"), "examples")
+    vectors = materialize(map_columns(rows, ["h", "y", "text"], kernel, "h long, y int, at array<int>, x array<float>"), "examples")
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(size=[len(a) for a in pdf["at"]]).sort_values(["h", "size", "y"], kind="stable")
