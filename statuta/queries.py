@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.functions import citegen, lexicon, text
-from statuta.operators import annotation, audit, context, corpus, evaluation, similarity, survey
+from statuta.functions import citegen, laws, lexicon, synthetic, text
+from statuta.operators import annotation, audit, context, corpus, display, evaluation, similarity, survey
 from statuta.plans import extract as plan
 from statuta.sources import tables
 
@@ -623,3 +623,90 @@ def control_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = l.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).alias("law_id"), F.col("l_partkey").cast("string").alias("article"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
     out = corpus.control_items(items, "o")
     return out.select("l_orderkey", "l_linenumber", F.col("law_id").cast("long").alias("law_id"), "article", "expected")
+
+
+# what is shown, and small sources
+
+
+@query("SELECT p_size AS law_id, arg_min(p_name, p_partkey) AS title FROM part GROUP BY p_size")
+def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: a title for each law: here no name has a number, so the first."""
+    names = _read(spark, sf_dir, "part").select(F.col("p_size").alias("law_id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("ord"))
+    return display.law_titles(names).select("law_id", "title")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'п./ч. 1 ' WHEN o_orderkey % 3 = 1 THEN 'пп. 2 п./ч. 1 ' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN 'статья не указана' ELSE 'ст. ' || o_orderkey END || ' — УК РФ' AS claim FROM orders")
+def display_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as citations."""
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    one = lambda when, v: F.when(when, F.array(v)).otherwise(none)
+    claim = display.reading(one(k % 5 != 0, k.cast("string")), one(k % 3 != 2, F.lit("1")), one(k % 3 == 1, F.lit("2")), F.lit("УК РФ"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", claim.alias("claim"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 = 1 AS named, CAST(CASE WHEN o_orderkey % 3 = 1 THEN 11 ELSE 5 END AS INT) AS shown_end FROM orders")
+def display_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents named after a span, and the end that is highlighted."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 3 == 0, "ст. 5). УК РФ").when(k % 3 == 1, "ст. 5 УК РФ и иное").otherwise("ст. 5, ст. 6 УК РФ")
+    end = F.when(k % 3 == 0, 5).when(k % 3 == 1, 8).otherwise(18)
+    starts = F.when(k % 3 == 2, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
+    out = _read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("t"), end.alias("e"), starts.alias("s"))
+    return out.select("o_orderkey", display.names_document(F.col("t"), F.lit(5)).alias("named"), display.display_end(F.col("t"), F.lit(0), F.col("e"), F.col("s")).alias("shown_end"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE replace(c_name, '#', ' ') END AS nick FROM customer")
+def voter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P27."""
+    raw = F.when(F.col("c_custkey") % 4 == 0, " x ").otherwise(F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit("  \t")), F.lit("\n")))
+    return _read(spark, sf_dir, "customer").select("c_custkey", display.voter_name(raw).alias("nick"))
+
+
+@query("SELECT p_partkey, p_brand AS name, CAST(p_size AS VARCHAR) AS k FROM part")
+def variant_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5."""
+    spec = _read(spark, sf_dir, "part").withColumn("_spec", F.concat("p_brand", F.lit("?k="), "p_size", F.lit("&z=1")))
+    return spec.withColumn("p", display.parameters(F.col("_spec"))).select("p_partkey", "p.name", F.col("p.options")["k"].alias("k"))
+
+
+@query("SELECT h AS href, min(page_id) AS page FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY h")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in pages, each once."""
+    return display.page_links(_read(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("SELECT doc_id, CAST(length(text) AS INT) AS chars FROM documents WHERE length(text) >= 1000 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def corpus_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a corpus index lacks, short texts left out."""
+    return display.new_index_rows(_docs(spark, sf_dir), _read(spark, sf_dir, "labels"), "doc_id", "text").select("doc_id", "chars")
+
+
+@query()
+def ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of variants of the law steps over the generator's texts."""
+    gold, texts = _expected(spark, sf_dir), _orders_text(spark, sf_dir)
+    variants = {"full": laws.Settings(), "no anaphora": laws.Settings(anaphora=False), "no naive Bayes": laws.Settings(naive_bayes=False), "threshold 0.95": laws.Settings(threshold=0.95)}
+    out = None
+    for name, settings in variants.items():
+        one = evaluation.scores(evaluation.compared(gold, plan.extract(texts, settings=settings), ["doc_id"])).select(F.lit(name).alias("variant"), "tp", "fp", "fn", "f1")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def synthetic_role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged texts drawn on the executors, one seed for each block, and their role trigrams."""
+    from statuta.sources.packaging import ship
+
+    ship(spark)
+
+    def draw(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for block in batch["id"]:
+                for i, (_, roles) in enumerate(synthetic.texts(50, seed=int(block))):
+                    yield pd.DataFrame({"text": int(block) * 50 + i, "pos": range(len(roles)), "tag": roles})
+
+    tagged = spark.range(0, 16, 1, 8).mapInPandas(draw, "text long, pos long, tag string")
+    return context.tag_counts(tagged, "text", "pos")
