@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import map_columns, materialize, ship
@@ -37,6 +37,7 @@ from .components import connected_components
 
 BLOCK = 1024
 GROUP_MOST = 16 * BLOCK
+FILTER_BITS = 24  # a bitmap of 2 MB
 _U = np.uint64
 
 
@@ -106,11 +107,38 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int,
     return map_columns(docs, [id_col, text_col], kernel, schema)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, kind: str = "space") -> DataFrame:
-    """(id, shingles) of each row."""
+def id_filter(ids: DataFrame, id_col: str) -> np.ndarray:
+    """Bitmap of hashed ids, of one size whatever their number: an id whose bit is not set is not among them."""
+    at = ids.select(F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("at"))
+    words_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    table = words_.toArrow()  # at most 2**FILTER_BITS / 64 rows
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _maybe(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0
+
+
+def maybe_among(df: DataFrame, id_col: str, bitmap: np.ndarray) -> Column:
+    """Whether an id may be among those of a bitmap; false is certain, a null id is false."""
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        return pd.Series(_maybe(shared.value, at.to_numpy(np.int64)))
+
+    return F.col(id_col).isNotNull() & test(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)))
+
+
+def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, kind: str, bitmap: np.ndarray) -> DataFrame:
+    """(id, shingles) of each row whose id may be among those of a bitmap; texts are not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(_maybe(shared.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for lo in range(0, batch.num_rows, 250):
                 part = batch.slice(lo, 250)
                 sets = shingle_sets(part.column(1), words, kind)
@@ -118,7 +146,8 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, kind: str
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "shingles"])
 
-    return map_columns(docs, [id_col, text_col], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>")
+    hashed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_at"))
+    return map_columns(hashed, [id_col, text_col, "_at"], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>")
 
 
 def _confirm(num: int, den: int):
@@ -199,16 +228,17 @@ def _block_links(num: int, den: int):
 def confirmed_links(feats: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, kind: str = "space") -> DataFrame:
     """Confirmed links (a, b) between classes that connect all that the bands bring together; ids are class leaders."""
     leaders = feats.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    slots = materialize(leaders.select("id", F.posexplode("bands").alias("band", "key")), "bands")
-    heads = slots.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("m > 1")
+    slots = materialize(leaders.select("id", F.explode("bands").alias("key")), "bands")
+    heads = slots.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("who")).where("m > 1")
     # equal buckets of several bands are one
-    heads = materialize(heads.groupBy("head", "m", "who").agg(F.min(F.struct("band", "key")).alias("b")).select("head", "m", "b.band", "b.key"), "heads")
-    members = materialize(slots.join(heads, ["band", "key"]), "members")
+    heads = materialize(heads.groupBy("head", "m", "who").agg(F.min("key").alias("key")), "heads")
+    members = materialize(slots.join(heads.drop("who"), "key"), "members")
     pairs = members.where("id <> head").select("id", "head").distinct()
     involved = pairs.select("id").union(pairs.select(F.col("head").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # rows of one id that differ in text are one node; each of its sets may link it
-    sets = materialize(full_sets(texts, "id", "text", words, kind).where(F.size("shingles") > 0), "sets")
+    sets = full_sets(texts, "id", "text", words, kind, id_filter(involved, "id")).where(F.size("shingles") > 0)
+    sets = materialize(sets.join(involved, "id", "left_semi"), "sets")
     ship(docs.sparkSession)
     # first each member with the least of its heads: this settles most groups with one comparison a member
     first = pairs.groupBy("id").agg(F.min("head").alias("head")).join(sets.withColumnRenamed("shingles", "sb"), "id")
@@ -220,18 +250,18 @@ def confirmed_links(feats: DataFrame, docs: DataFrame, id_col: str, text_col: st
     placed = groups.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = placed.groupBy("grp").agg(F.count_distinct("comp").alias("c"), F.count("*").alias("m")).where("c > 1").drop("c")
     left = materialize(placed.join(open_, "grp"), "open")
-    small = left.where(F.col("m") <= GROUP_MOST).select(F.col("grp").alias("g"), F.lit(-1).alias("band"), "id", "comp", "m")
+    small = left.where(F.col("m") <= GROUP_MOST).select(F.col("grp").alias("g"), F.lit(False).alias("bucket"), "id", "comp", "m")
     # of a larger group only members of one bucket are compared
-    large = left.where(F.col("m") > GROUP_MOST).select("id", "comp").join(members.drop("head"), "id").select(F.col("key").alias("g"), "band", "id", "comp", "m")
+    large = left.where(F.col("m") > GROUP_MOST).select("id", "comp").join(members.drop("head"), "id").select(F.col("key").alias("g"), F.lit(True).alias("bucket"), "id", "comp", "m")
     # members are dealt into blocks of about BLOCK; every pair of blocks is one task's group
     blocks = small.union(large).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.expr("cast(pmod(xxhash64(id, 7), nb) as int)"))
     tasks = blocks.select(
-        "g", "band", "id", "comp",
+        "g", "bucket", "id", "comp",
         F.explode(
             F.expr("transform(sequence(0, nb - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j), 'side', if(i <= j, 0, 1)))")
         ).alias("t"),
-    ).select("g", "band", "id", "comp", "t.lo", "t.hi", "t.side")
-    more = tasks.join(sets, "id").groupBy("g", "band", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long")
+    ).select("g", "bucket", "id", "comp", "t.lo", "t.hi", "t.side")
+    more = tasks.join(sets, "id").groupBy("g", "bucket", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long")
     return star.union(materialize(more, "more"))
 
 
@@ -276,5 +306,8 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
-    lost = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("lost_id")).distinct()
-    return docs.join(lost, docs[id_col].cast("long") == lost["lost_id"], "left_anti")
+    lost = materialize(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("lost_id")).distinct(), "lost")
+    # rows that are certainly kept are not shuffled
+    doubt = maybe_among(docs, id_col, id_filter(lost, "lost_id"))
+    maybe = docs.where(doubt)
+    return docs.where(~doubt).union(maybe.join(lost, maybe[id_col].cast("long") == lost["lost_id"], "left_anti"))
