@@ -120,6 +120,14 @@ def chains_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "chain_ord", "chain.start", "chain.end", F.to_json("chain.articles").alias("articles"), F.to_json("chain.points").alias("points"), F.to_json("chain.subpoints").alias("subpoints"))
 
 
+@query()
+def extract_long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of about 2,500 characters, 30 citations each: back-references now reach over neighbours, so there is no SQL."""
+    one = _orders_text(spark, sf_dir).select(F.floor(F.col("doc_id") / 30).alias("g"), "doc_id", "text")
+    whole = one.groupBy("g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return plan.extract(whole, id_col="g").groupBy("doc_id", "law_id").agg(F.count("*").alias("n_links"))
+
+
 # text functions
 
 _CONV = "SELECT conv_id, turn, {expr} FROM conversations"
