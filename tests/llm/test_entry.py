@@ -1,11 +1,9 @@
-import hashlib
-
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from statuta.llm import entry, langid, secret_scan
+from statuta.llm import entry, secret_scan
 from tests.llm.test_near_dup import brute
 from tests.llm.test_search_and_models import alnum_set, brute_base
 from tests.oracle import check, connect
@@ -20,6 +18,12 @@ def test_ten_queries():
     assert [n for i in range(1, 11) for n in entry.queries() if n.startswith(f"op{i}_")] and len(entry.queries()) == 10
 
 
+def test_null_page_id(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "x"), (None, "u", "x"), (None, None, None)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    rows = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in entry.op1_warc_normaliser(spark, str(tmp_path)).collect()), key=str)
+    assert rows == sorted([(1, "response", None), (None, "revisit", 1), (None, "response", None)], key=str)
+
+
 def test_pipeline_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r.asDict() for r in docs.collect()]
@@ -43,6 +47,3 @@ def test_stages_keep_columns_and_odd_rows(spark, odd_docs, no_docs, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd_docs, sf).columns == odd_docs.columns, name
         assert stage(spark, no_docs, sf).count() == 0, name
-    model = langid.fit(odd_docs)
-    assert langid.keep_identified(odd_docs, model).count() > 0
-    assert hashlib
