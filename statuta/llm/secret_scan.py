@@ -30,7 +30,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16  # of a run that the models judge: the least length that they are trained on
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MIN_RATIO = 2.5
 SAMPLE_DOCS = 1000
 RANDOM_STRINGS = 6000
@@ -63,7 +64,7 @@ def random_strings(n: int = RANDOM_STRINGS, seed: int = 11) -> list[str]:
     draw = random.Random(seed)
     upper, lower, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
     kinds = (digits + "abcdef", digits + "ABCDEF", upper + "234567", upper + digits, lower + digits, upper + lower + digits, ALPHABET[:64], upper + lower + digits + "_-")
-    return ["".join(draw.choices(kinds[i % len(kinds)], k=draw.randint(16, 64))) for i in range(n)]
+    return ["".join(draw.choices(kinds[i % len(kinds)], k=draw.randint(LEAST, 64))) for i in range(n)]
 
 
 def identifiers(words: list[str], n: int, seed: int = 12) -> list[str]:

@@ -153,6 +153,13 @@ def test_markov_finds_keys_and_leaves_words(spark, real):
     assert found <= real.count() // 50
 
 
+def test_markov_finds_the_shortest_keys_it_is_trained_on(spark, real):
+    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    drawn = [t[:n] for n in (16, 17, 18, 19) for t in secret_scan.random_strings(500, seed=98 + n)]
+    assert np.mean([bool(secret_scan.all_spans(t, ratio)) for t in drawn]) > 0.95
+    assert np.mean([bool(secret_scan.all_spans(t, ratio)) for t in secret_scan.random_strings(2000, seed=99)]) > 0.95
+
+
 def test_mask(spark, odd_docs, real):
     ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
     docs = spark.createDataFrame([(1, 'a token = "48fd8e940a86f41832370bc4dd81bc9d95bf72b0" b'), (2, None), (3, "clean text")], "doc_id long, text string")
