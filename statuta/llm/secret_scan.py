@@ -1,11 +1,11 @@
 """Secret scans: base patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two second-order character models are trained from labelled samples: strings drawn at random from the alphabets that
-keys use (label 1) and ordinary words and identifiers (label 0).  A run of key characters is a secret if its
-log-likelihood ratio, random against ordinary, is ``min_ratio`` nats a character or more.  Base spans stay as they are;
-the model adds spans (kind ``markov``) that overlap none of them.
+keys use (label 1) and ordinary words and identifiers (label 0).  A run of key characters, or a sub-run of it, is a secret
+if its log-likelihood ratio, random against ordinary, is ``min_ratio`` nats a character or more.  Base spans stay as they
+are; the model adds spans (kind ``markov``) in what they leave of the runs.
 
-A span is the whole match, in code points, end exclusive.
+A base span is the whole match; spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -144,17 +144,58 @@ def labelled_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id
     return texts.mapInArrow(kernel, "token string, label long").union(drawn)
 
 
+def model_spans(run: str, ratio: np.ndarray, min_ratio: float = MIN_RATIO) -> list[tuple[int, int]]:
+    """(start, end) in a run of key characters: the whole run where its mean ratio suffices, else its sub-runs of which it does.
+
+    A sub-run has ``LEAST`` characters or more.  Any longer one that suffices holds one of ``LEAST`` to 2 * ``LEAST`` - 1
+    characters that does, so windows of these lengths find all, in time that grows with the run.  Windows that touch are
+    one span; ordinary words that they took in are cut from its ends, where the sum of ratios is largest, but letters and
+    digits that are joined to the rest stay.
+    """
+    n = len(run)
+    if n < LEAST:
+        return []
+    c = _CLASS[np.frombuffer(b"\x00\x00" + run.encode() + b"\x00", np.uint8)]
+    each = ratio[(c[:-2] * _N + c[1:-1]) * _N + c[2:]].astype(np.float64)
+    if each.sum() >= min_ratio * n:
+        return [(0, n)]
+    total = np.concatenate(([0.0], np.cumsum(each[:n])))
+    above = total - min_ratio * np.arange(n + 1)
+    edges = np.zeros(n + 1, np.int64)
+    for size in range(LEAST, min(2 * LEAST - 1, n) + 1):
+        at = np.flatnonzero(above[size:] >= above[:-size])
+        edges[at] += 1
+        edges[at + size] -= 1
+    inside = np.concatenate(([0], np.cumsum(edges) > 0)).astype(np.int8)
+    out = []
+    for a, b in np.flatnonzero(np.diff(inside)).reshape(-1, 2).tolist():
+        start = a + int(total[a : a + LEAST].argmin())
+        while start > a and run[start - 1].isalnum():
+            start -= 1
+        end = b - int(total[b - LEAST + 1 : b + 1][::-1].argmax())
+        while end < b and run[end].isalnum():
+            end += 1
+        out.append((start, end) if end - start >= LEAST else (a, b))
+    return out
+
+
 def all_spans(text: str, ratio: np.ndarray, min_ratio: float = MIN_RATIO) -> list[tuple[int, int, str]]:
-    """Base spans and those that the models add, by start and then kind."""
+    """Base spans and those that the models add to what the base spans leave of each run, by start and then kind."""
     base = base_spans(text)
     found = list(base)
+    cuts = sorted((x, y) for x, y, _ in base)
+    k = 0
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y, _ in base):
-            continue
-        c = _CLASS[np.frombuffer(b"\x00\x00" + m[0].encode() + b"\x00", np.uint8)]
-        if ratio[(c[:-2] * _N + c[1:-1]) * _N + c[2:]].sum() >= min_ratio * (b - a):
-            found.append((a, b, "markov"))
+        at, end = m.span()
+        while k < len(cuts) and cuts[k][1] <= at:
+            k += 1
+        pieces, j = [], k
+        while j < len(cuts) and cuts[j][0] < end:
+            pieces.append((at, cuts[j][0]))
+            at = max(at, cuts[j][1])
+            j += 1
+        pieces.append((at, end))
+        found += [(a + s, a + e, "markov") for a, b in pieces if b - a >= LEAST for s, e in model_spans(text[a:b], ratio, min_ratio)]
     return sorted(found, key=_order)
 
 
