@@ -619,6 +619,12 @@ def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.line_windows(_docs(spark, sf_dir), "doc_id", "text", 1500, 3)
 
 
+def _control_items(l: DataFrame) -> DataFrame:
+    items = l.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).alias("law_id"), F.col("l_partkey").cast("string").alias("article"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
+    out = corpus.control_items(items, "o")
+    return out.select("l_orderkey", "l_linenumber", F.col("law_id").cast("long").alias("law_id"), "article", "expected")
+
+
 @query(
     """WITH n AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS law_id, CAST(l_partkey AS VARCHAR) AS article, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem WHERE l_orderkey < 1000),
 m AS (SELECT *, CASE law_id WHEN 5 THEN 13 WHEN 13 THEN 5 WHEN 15 THEN 10 WHEN 10 THEN 15 WHEN 17 THEN 12 WHEN 12 THEN 17 WHEN 0 THEN 6 WHEN 6 THEN 0 WHEN 7 THEN 8 WHEN 8 THEN 7 END AS swap FROM n)
@@ -627,10 +633,18 @@ SELECT l_orderkey, l_linenumber, CAST(CASE WHEN k % 4 = 1 AND swap IS NOT NULL T
 )
 def control_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section 2.13: corrupted control items, over the items of one pack."""
-    l = _read(spark, sf_dir, "lineitem").where("l_orderkey < 1000")
-    items = l.select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 20).alias("law_id"), F.col("l_partkey").cast("string").alias("article"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("o"))
-    out = corpus.control_items(items, "o")
-    return out.select("l_orderkey", "l_linenumber", F.col("law_id").cast("long").alias("law_id"), "article", "expected")
+    return _control_items(_read(spark, sf_dir, "lineitem").where("l_orderkey < 1000"))
+
+
+@query(
+    """WITH n AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS law_id, CAST(l_partkey AS VARCHAR) AS article, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem),
+m AS (SELECT *, CASE law_id WHEN 5 THEN 13 WHEN 13 THEN 5 WHEN 15 THEN 10 WHEN 10 THEN 15 WHEN 17 THEN 12 WHEN 12 THEN 17 WHEN 0 THEN 6 WHEN 6 THEN 0 WHEN 7 THEN 8 WHEN 8 THEN 7 END AS swap FROM n)
+SELECT l_orderkey, l_linenumber, CAST(CASE WHEN k % 4 = 1 AND swap IS NOT NULL THEN swap ELSE law_id END AS BIGINT) AS law_id,
+ CASE WHEN k % 2 = 1 AND NOT (k % 4 = 1 AND swap IS NOT NULL) THEN CAST(CAST(article AS BIGINT) + [1, 2, 3, 7, 10][k % 5 + 1] AS VARCHAR) ELSE article END AS article, CASE WHEN k % 2 = 1 THEN 'no' ELSE 'yes' END AS expected FROM m"""
+)
+def control_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section 2.13: corrupted control items, over all rows."""
+    return _control_items(_read(spark, sf_dir, "lineitem"))
 
 
 # what is shown, and small sources

@@ -107,3 +107,20 @@ def test_extend_adds_short_names():
     names = lexicon.extend(lexicon.SEED_LAWS)
     assert "КАС РФ" in names[18] and "КоАП" in names[17]
     assert "Федеральный закон №40-ФЗ от 25.04.2002" in names[397]
+
+
+def test_numbered_rows(spark):
+    rows = [((i * 7919) % 5000 // 3, i % 2) for i in range(5000)] + [(None, 1), (-5, 0)] + [(9, 9)] * 300
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", F.struct("a", "b").alias("o")).repartition(7)
+    got = sorted((r["n"], r["a"], r["b"]) for r in corpus.numbered_rows(df, "o", "n").collect())
+    assert [n for n, _, _ in got] == list(range(len(rows)))
+    assert [(a, b) for _, a, b in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert corpus.numbered_rows(df.limit(0), "o", "n").count() == 0
+
+
+def test_control_items_bring_no_table_into_one_task(spark):
+    items = spark.range(10_000).select("id", (F.col("id") % 20).alias("law_id"), F.col("id").cast("string").alias("article"))
+    out = corpus.control_items(items.repartition(8), "id")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(_range" in plan and "row_number() windowspecdefinition(id" not in plan
+    assert sum(r["expected"] == "no" for r in out.collect()) == 5000
