@@ -46,3 +46,10 @@ def best_matches(queries: DataFrame, index: DataFrame, threshold: float) -> Data
     sims = q.join(x, "gram").groupBy("query", "match").agg(F.sum(F.col("wq") * F.col("wx")).alias("similarity"))
     top = F.max("similarity").over(Window.partitionBy("query"))
     return sims.withColumn("top", top).where((F.col("similarity") >= F.col("top") - 1e-9) & (F.col("top") >= threshold - 1e-9)).drop("top")
+
+
+def similar_keys(df: DataFrame, id_col: str, key_col: str, threshold: float) -> DataFrame:
+    """Best matches of each whole key among all keys of the table, itself included."""
+    counts = term_counts(df, id_col, key_col)
+    each = weights(counts, inverse_frequency(counts, df))
+    return best_matches(each, each, threshold)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import citegen, laws, lexicon, synthetic, text
@@ -67,6 +67,14 @@ def links_in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.select("doc_id", "law_id", "article", "point_article", "subpoint_article", (F.col("chain_ord") + F.col("link_ord")).cast("int").alias("place"))
 
 
+@query(f"SELECT doc_id, law_id, article, point_article, subpoint_article, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(article AS INT), point_article) - 1 AS INT) AS place FROM ({_EXPECTED})")
+def links_in_text_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: links of every text keep its order; the generator's articles of a text ascend."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chain_ord", "link_ord")) - 1
+    links = plan.extract(_orders_text(spark, sf_dir))
+    return links.select("doc_id", "law_id", "article", "point_article", "subpoint_article", place.cast("int").alias("place"))
+
+
 @query("SELECT doc_id, CAST(NULL AS INT) AS law_id, CAST(NULL AS VARCHAR) AS article FROM documents WHERE regexp_matches(text, '[А-Яа-яЁё]') AND false")
 def extract_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without Cyrillic letters are pruned before any Python; the driver's documents hold no citation."""
@@ -330,6 +338,17 @@ def survey_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey.queue(items, votes.where("answer <> 'yes' and vote_id % 7 = 0"))
 
 
+@query(
+    _EVENTS
+    + """, c AS (SELECT i.item_id, i.kind, i.version, count(v.vote_id) AS n FROM items i LEFT JOIN votes v ON i.item_id = v.item_id GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n >= 2, version DESC, n, md5(CAST(item_id AS VARCHAR)), item_id) AS INT) AS place FROM c"""
+)
+def survey_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of the next items within a kind, by all votes."""
+    votes, items = _votes(spark, sf_dir)
+    return survey.queue(items, votes)
+
+
 @query(_EVENTS + "SELECT item_id, count(*) AS n_votes, count(DISTINCT voter) AS n_voters FROM votes GROUP BY item_id")
 def survey_votes_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A19."""
@@ -545,6 +564,12 @@ def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query()
+def similar_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2, J3, A5, F2 over whole texts; a test holds it against brute force."""
+    return similarity.similar_keys(_read(spark, sf_dir, "benchmark"), "item_id", "text", 0.85).withColumn("similarity", F.round("similarity", 6))
+
+
 # audit and corpus
 
 
@@ -568,6 +593,14 @@ def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.coverage(checklist, index).select("n_name", "laws")
 
 
+@query("SELECT n_name, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)), ',') AS laws FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+def audit_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laws of each checklist name, over all rows."""
+    checklist = _read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("key"))
+    index = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("law_id"))
+    return audit.coverage(checklist, index).select("n_name", "laws")
+
+
 @query(
     """SELECT p_partkey, unnest(list_filter([CASE WHEN p_partkey % 4 = 0 THEN 'spaces' END, CASE WHEN p_partkey % 3 = 0 THEN 'quotes' END, CASE WHEN p_partkey % 5 = 0 THEN 'edition' END], lambda x: x IS NOT NULL)) AS fault FROM part"""
 )

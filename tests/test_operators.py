@@ -1,9 +1,11 @@
 import json
+import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from statuta.functions import lexicon, tagging, text
-from statuta.operators import annotation, context, corpus, evaluation, survey
+from statuta.operators import annotation, context, corpus, evaluation, similarity, survey
 from statuta.plans import extract as plan
 from statuta.sources import tables
 from statuta.streaming import votes as stream
@@ -124,3 +126,27 @@ def test_control_items_bring_no_table_into_one_task(spark):
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "row_number() windowspecdefinition(_range" in plan and "row_number() windowspecdefinition(id" not in plan
     assert sum(r["expected"] == "no" for r in out.collect()) == 5000
+
+
+def brute_similar(rows, threshold):
+    grams = {}
+    for i, key in rows:
+        words = [f" {w} " for w in key.lower().split()]
+        grams[i] = Counter(w[k : k + n] for w in words for n in (3, 4, 5) if n == 3 or n <= len(w) for k in range(max(1, len(w) - n + 1)))
+    df = Counter(g for c in grams.values() for g in c)
+    w = {i: {g: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for g, n in c.items()} for i, c in grams.items()}
+    w = {i: {g: x / math.sqrt(sum(y * y for y in v.values())) for g, x in v.items()} for i, v in w.items()}
+    sims = {i: {j: sum(x * w[j].get(g, 0) for g, x in w[i].items()) for j in w} for i in w}
+    return {(i, j, round(s, 6)) for i, v in sims.items() for j, s in v.items() if max(v.values()) >= threshold and s >= max(v.values()) - 1e-9}
+
+
+def test_similar_keys_are_compared_whole(spark, sf):
+    head = "статья кодекса об административных правонарушениях " * 4
+    rows = [(1, head + "первая редакция"), (2, head + "совсем иной конец"), (3, head + "первая редакция"), (4, "short name"), (5, "a bc")]
+    got = {tuple(r) for r in similarity.similar_keys(spark.createDataFrame(rows, "item_id long, text string"), "item_id", "text", 0.85).select("query", "match", F.round("similarity", 6)).collect()}
+    assert got == brute_similar(rows, 0.85)
+    assert {j for i, j, _ in got if i == 1} == {1, 3} and {j for i, j, _ in got if i == 2} == {2}
+    some = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").limit(40).collect()]
+    assert any(len(t) > 120 for _, t in some)
+    got = similarity.similar_keys(spark.createDataFrame(some, "item_id long, text string"), "item_id", "text", 0.85)
+    assert {(r["query"], r["match"]) for r in got.collect()} == {(i, j) for i, j, _ in brute_similar(some, 0.85)}
