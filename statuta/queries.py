@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from statuta.functions import citegen, laws, lexicon, synthetic, text
+from statuta.functions import citegen, laws, lexicon, noise, synthetic, text
 from statuta.operators import annotation, audit, context, corpus, display, evaluation, similarity, survey
 from statuta.plans import extract as plan
 from statuta.sources import tables
@@ -121,6 +121,19 @@ def noise_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.scores(counted, ["family"])
 
 
+@query()
+def noise_robustness_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each noise family, typos and all among them, over five seeds of draws at rate 0.5."""
+    families, seeds = ["clean", *noise.FAMILIES, "all"], 5
+    gold, texts = _expected(spark, sf_dir), _orders_text(spark, sf_dir)
+    key = F.concat_ws(":", "family", "seed", "doc_id")
+    found = plan.extract(corpus.drawn_noise(texts, families, seeds).select(key.alias("doc_id"), "text"))
+    runs = spark.createDataFrame([(f, s) for f in families for s in range(1 if f == "clean" else seeds)], "family string, seed int")
+    expected = gold.crossJoin(F.broadcast(runs)).withColumn("doc_id", key)
+    counted = evaluation.compared(expected, found, ["doc_id"]).withColumn("family", F.split("doc_id", ":")[0])
+    return evaluation.scores(counted, ["family"])
+
+
 @query()
 def chains_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains with their spans and values, before any law."""

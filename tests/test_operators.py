@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from statuta.functions import lexicon, tagging, text
+from statuta.functions import lexicon, noise, tagging, text
 from statuta.operators import annotation, context, corpus, evaluation, similarity, survey
 from statuta.plans import extract as plan
 from statuta.sources import tables
@@ -150,3 +150,18 @@ def test_similar_keys_are_compared_whole(spark, sf):
     assert any(len(t) > 120 for _, t in some)
     got = similarity.similar_keys(spark.createDataFrame(some, "item_id long, text string"), "item_id", "text", 0.85)
     assert {(r["query"], r["match"]) for r in got.collect()} == {(i, j) for i, j, _ in brute_similar(some, 0.85)}
+
+
+def test_drawn_noise(spark):
+    raw = "Руководствуясь частью 1 ст. 5 Кодекса Российской Федерации, ч. 2 ст. 12.8 КоАП РФ"
+    docs = spark.createDataFrame([(str(i), raw) for i in range(40)] + [("x", None)], "doc_id string, text string")
+    families = ["clean", *noise.FAMILIES, "all"]
+    rows = corpus.drawn_noise(docs, families, 3).collect()
+    assert len(rows) == 41 * (1 + 3 * 8)
+    assert all(r["text"] == (raw if r["family"] == "clean" else noise.noisy(raw, r["doc_id"], r["family"], r["seed"])) for r in rows if r["text"] is not None)
+    for f in families[1:]:
+        texts = {r["text"] for r in rows if r["family"] == f and r["text"]}
+        assert len(texts) > 1, f
+        assert all("".join(c for c in t if c.isdigit()) == "152128" for t in texts)
+    assert all(noise.noisy(raw, 1, f, 0, 0.0) == raw for f in noise.FAMILIES if f != "case")
+    assert all(len(noise.noisy(raw, i, "typos", 0).split()) == len(raw.split()) for i in range(40))
