@@ -33,7 +33,6 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 LEAST = 16  # of a run that the models judge: the least length that they are trained on
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MIN_RATIO = 2.5
-SAMPLE_DOCS = 1000
 RANDOM_STRINGS = 6000
 _N = len(ALPHABET) + 1  # the last class: anything else, and the ends
 _CLASS = np.full(256, _N - 1, dtype=np.int64)
@@ -119,15 +118,14 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "label"
     return (log_model(counts[1]) - log_model(counts[0])).astype(np.float32)
 
 
-def labelled_samples(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(token, label): random strings, and words of the ``sample_docs`` documents of least id hash with identifiers made of them.
+def labelled_samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(token, label): random strings, and words of all documents with identifiers made of them.
 
-    The sample is bounded by documents; the models have 68**3 cells whatever the corpus.  Tokens inside base spans and
-    tokens with a digit are not taken for ordinary ones.
+    The models have 68**3 cells whatever the corpus.  Tokens inside base spans and tokens with a digit are not taken for
+    ordinary ones.
     """
     ship(spark)
-    chosen = docs.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.distinct()), "id", "left_semi").select("text")
+    texts = docs.select(F.col(text_col).alias("text"))
     word = re.compile(r"[A-Za-z][a-z]*(?:[_-][A-Za-z]+)*")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,6 +160,11 @@ def test_markov_finds_the_shortest_keys_it_is_trained_on(spark, real):
     assert np.mean([bool(secret_scan.all_spans(t, ratio)) for t in secret_scan.random_strings(2000, seed=99)]) > 0.95
 
 
+def test_ordinary_words_are_counted_over_all_documents(spark):
+    docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("ordinary words").alias("text"))
+    assert secret_scan.labelled_samples(spark, docs).where("label = 0 and token = 'ordinary'").count() >= 1200
+
+
 KEY = "q7Zp2LxV9sKd4TfW8mYb3RcH6nGjU1eA5oXiQ0tB"
 
 
