@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,55 +50,100 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a frame that reads it.
 
-    This cuts the lineage: a lost executor costs a re-read and no recomputation.  Files go when the driver ends.
+    This cuts the lineage: a lost executor costs a re-read and no recomputation.  Files go when they are discarded or the
+    driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._statuta_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames from :func:`materialize` that nothing reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_statuta_path", None)
+        if path is not None:
+            _delete(frame.sparkSession, path)
+            _written.remove((frame.sparkSession, path))
+            del frame._statuta_path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the context may be gone already; the folder is scratch space
             return
 
 
-def limit_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Rows and bytes in an Arrow batch; bounds a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+def slices(batch: pa.RecordBatch, column: int, rows: int = 250, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and about ``most`` bytes of a string column; a longer text stands alone.
 
+    All rows are given, in order: this bounds a worker's memory and nothing else.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    lo, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > lo and (i - lo >= rows or held + size > most):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += size
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its own allocator decides
+        return
 
-def map_columns(
-    df: DataFrame, columns: list[str], kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType
-) -> DataFrame:
-    """Only ``columns`` of ``df`` through an Arrow kernel; other columns are pruned at the scan."""
-    ship(df.sparkSession)
-    limit_batches(df.sparkSession)
-    return df.select(*columns).mapInArrow(kernel, schema)
 
+def _frugal(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel on batches of bounded bytes, memory given back at its end."""
 
-def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """All columns of ``df`` and new ones made by ``make``; a new name replaces a clashing one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        give_back()
+
+    return run
+
+
+def limit_batches(spark: SparkSession, rows: int = 2000, most: int = 16 << 20) -> None:
+    """Lower the session's rows and bytes in an Arrow batch to these, where they are higher; never raise them.
+
+    Spark reads both settings when a plan runs, so they can't be set for one operator alone; they change no result.
+    """
+    for key, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most)):
+        digits = "".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-")
+        if not 0 < int(digits or 0) <= limit:
+            spark.conf.set(key, limit)
+
+
+def map_batches(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df`` through an Arrow kernel, in batches of bounded rows and bytes."""
     ship(df.sparkSession)
     limit_batches(df.sparkSession)
-    new = [f.name for f in fields]
-    keep = [f for f in df.schema.fields if f.name not in new]
-    names = [f.name for f in keep]
+    return df.mapInArrow(_frugal(kernel), schema)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names] + made, names + new)
 
-    return df.mapInArrow(kernel, T.StructType(keep + fields))
+def map_columns(
+    df: DataFrame, columns: list[str], kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+) -> DataFrame:
+    """Only ``columns`` of ``df`` through an Arrow kernel; other columns are pruned at the scan."""
+    return map_batches(df.select(*columns), kernel, schema)
 
 
 def strings(column: pa.Array) -> list[str]:

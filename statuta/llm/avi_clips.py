@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import mjpeg
-from ._io import map_columns
+from ._io import map_columns, slices
 
 FPS = 25
 WIDTH, HEIGHT = 64, 16  # of a stored frame: 16 blocks, 1024 bytes
@@ -177,8 +177,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+            for part in slices(batch, 1):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([store(pad(r)) for r in raw], pa.binary())], ["id", "n_bytes", "media"]

@@ -7,7 +7,7 @@ compatible with the last token of the prefix before it is stored.  Back-pointers
 are compatible if undoing their merges from the seam, latest first, meets no merge across the seam that would have come
 earlier.
 
-Work is done once for each distinct pre-token of a worker (a bounded memory of them is kept); texts are then assembled
+Work is done once for each distinct pre-token of a worker (``KNOWN_BYTES`` of them are remembered; then only those in use are kept); texts are then assembled
 from ragged numpy arrays.  The vocabulary is read on the executors from a path, a parameter.
 """
 
@@ -25,10 +25,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._io import map_columns, strings
+from ._io import map_columns, slices, strings
 
-KNOWN_MOST = 500_000
-PIECES_AT_ONCE = 400_000
+KNOWN_BYTES = 48 << 20  # of the pre-tokens that a worker remembers
+PAIRS_MOST = 200_000  # remembered answers about pairs, of about 100 bytes
+PIECES_AT_ONCE = 100_000
+_ENTRY = 200  # bytes of a remembered pre-token besides its letters
 
 
 def _byte_letters() -> dict[str, int]:
@@ -75,7 +77,7 @@ class Codec:
         self.matches.make_automaton()
         self.split = split_pattern()
         self.specials = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         lengths = np.array([len(b) for b in self.bytes])
         self._ends = np.cumsum(lengths)
@@ -102,11 +104,12 @@ class Codec:
                 return True
 
     def fits(self, a: int, b: int) -> bool:
-        known = self._fits.get((a, b))
+        pair = a * len(self.rank) + b
+        known = self._fits.get(pair)
         if known is None:
-            if len(self._fits) > KNOWN_MOST:
+            if len(self._fits) >= PAIRS_MOST:
                 self._fits.clear()
-            known = self._fits[a, b] = self.compatible(a, b)
+            known = self._fits[pair] = self.compatible(a, b)
         return known
 
     def alone(self, t: int) -> bool:
@@ -141,18 +144,24 @@ class Codec:
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
-        n = len(data)
+        n, size_all, known, alone = len(data), len(self.rank), self._fits, self._alone
         last = [-1] * (n + 1)
-        fits, alone = self.fits, self.alone
         for end, (token, size) in self.matches.iter(data.decode("latin-1")):
             end += 1
             if last[end] >= 0:
                 continue
-            start = end - size
-            if start == 0:
-                if alone(token):
-                    last[end] = token
-            elif last[start] >= 0 and fits(last[start], token):
+            if size == end:
+                good = alone.get(token)
+                if good is None:
+                    good = self.alone(token)
+            else:
+                before = last[end - size]
+                if before < 0:
+                    continue
+                good = known.get(before * size_all + token)
+                if good is None:
+                    good = self.fits(before, token)
+            if good:
                 last[end] = token
         out = []
         while n:
@@ -163,15 +172,21 @@ class Codec:
             n -= len(self.bytes[t])
         return out[::-1]
 
-    def _forget(self) -> None:
+    def _forget(self, but: set[str] = frozenset()) -> None:
+        """Drop all remembered pre-tokens but some known ones."""
+        kept = [(p, self._ids[self._bounds[i] : self._bounds[i + 1]].tolist()) for p in sorted(but - self.special.keys()) for i in [self._place[p]]]
         self._place: dict[str, int] = {s: i for i, s in enumerate(self.special)}
         ids = list(self.special.values())
         self._ids = np.array(ids + [0] * 1024, np.int32)
         self._used = len(ids)
         self._bounds = list(range(len(ids) + 1))
+        self._held = sum(len(p) + _ENTRY for p, _ in kept)
+        self._remember(kept)
 
     def _learn(self, pieces: set[str]) -> None:
-        made = [(p, self.encode_piece(p.encode("utf-8", "surrogatepass"))) for p in sorted(pieces)]
+        self._remember([(p, self.encode_piece(p.encode("utf-8", "surrogatepass"))) for p in sorted(pieces)])
+
+    def _remember(self, made: list[tuple[str, list[int]]]) -> None:
         flat = np.array([t for _, ids in made for t in ids], np.int32)
         if self._used + len(flat) > len(self._ids):
             self._ids = np.concatenate((self._ids, np.zeros(max(len(self._ids), len(flat)), np.int32)))
@@ -204,9 +219,10 @@ class Codec:
             if not held:
                 return
             new = set(held) - self._place.keys()
-            if len(self._place) + len(new) > KNOWN_MOST:
-                self._forget()
-                new = set(held) - self._place.keys()
+            cost = sum(map(len, new)) + _ENTRY * len(new)
+            if self._held and self._held + cost > KNOWN_BYTES:
+                self._forget(set(held) - new)
+            self._held += cost
             self._learn(new)
             place = np.fromiter(map(self._place.__getitem__, held), np.int64, len(held))
             bounds = np.array(self._bounds)
@@ -257,8 +273,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(vocabulary)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch, 1):
                 ids, bounds = use.encode(strings(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(use.decode(ids, bounds), pa.string())],

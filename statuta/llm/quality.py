@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import map_columns, materialize, ship
+from ._io import map_columns, materialize, ship, slices
 from ._words import mix, word_hashes
 
 BUCKET_BITS = 20
@@ -70,8 +70,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
+            for part in slices(batch, 2):
                 words, at = word_hashes(part.column(2))
                 v = [_vector(words[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 ends = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in v]))).astype(np.int32))
@@ -106,8 +105,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
+            for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(shared.value, part.column(1)))], ["id", "score"])
 
     return map_columns(docs, [id_col, text_col], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)

@@ -6,7 +6,7 @@ product ranks before it), else at the leftmost.  Sequences without a pair leave;
 characters beyond the vocabulary, are counted.
 
 A text is cut where no piece of the vocabulary reaches across, a property checked when the model is read.  Counts are made
-once for each distinct pre-token of a worker, with a bounded memory of them.
+once for each distinct pre-token of a worker; ``KNOWN_BYTES`` of them are remembered, then only those in use are kept.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from ._io import map_columns, strings
+from ._io import map_columns, slices, strings
 
-KNOWN_MOST = 500_000
-PIECES_AT_ONCE = 400_000
-SYMBOLS_AT_ONCE = 1_000_000
+KNOWN_BYTES = 24 << 20  # of the pre-tokens that a worker remembers
+PIECES_AT_ONCE = 100_000
+SYMBOLS_AT_ONCE = 250_000
+_ENTRY = 160  # bytes of a remembered pre-token besides its letters
 _NONE = np.int64(1 << 40)
 _MARK = "▁"
 
@@ -69,6 +70,7 @@ class Counter:
         self._code[[ord(c) for c in single]] = [names[c] for c in single]
         self._cut = self._pattern(pieces)
         self._known: dict[str, int] = {}
+        self._held = 0
 
     @staticmethod
     def _pattern(pieces: dict[str, float]) -> re.Pattern:
@@ -164,10 +166,13 @@ class Counter:
         size = 0
 
         def flush() -> None:
-            new = set().union(*(p for _, p in held)) - self._known.keys()
-            if len(self._known) + len(new) > KNOWN_MOST:
-                self._known.clear()
-                new = set().union(*(p for _, p in held))
+            used = set().union(*(p for _, p in held))
+            new = used - self._known.keys()
+            cost = sum(map(len, new)) + _ENTRY * len(new)
+            if self._held and self._held + cost > KNOWN_BYTES:
+                self._known = {p: self._known[p] for p in used - new}
+                self._held = sum(len(p) + _ENTRY for p in self._known)
+            self._held += cost
             self._learn(sorted(new))
             for row, pieces in held:
                 totals[row] += sum(map(self._known.__getitem__, pieces))
@@ -198,10 +203,10 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = counter(model)
-        for batch in batches:
-            texts = strings(batch.column(1))
+        for part in (p for b in batches for p in slices(b, 1)):
+            texts = strings(part.column(1))
             size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(use.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(use.count(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     out = map_columns(docs, [id_col, text_col], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.withColumnRenamed("id", id_col)

@@ -42,7 +42,7 @@ def test_bpe_decodes_broken_bytes():
 
 
 def test_bpe_forgets_and_cuts(monkeypatch):
-    monkeypatch.setattr(bpe, "KNOWN_MOST", 40)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 8000)
     monkeypatch.setattr(bpe, "PIECES_AT_ONCE", 7)
     library, own = Tokenizer.from_file(PATH), bpe.Codec(PATH)
     texts = odd_texts(5)[:200]
@@ -68,7 +68,7 @@ def test_token_counts_are_the_library(odd_docs):
 
 
 def test_token_counts_forget_and_cut(monkeypatch):
-    monkeypatch.setattr(token_count, "KNOWN_MOST", 40)
+    monkeypatch.setattr(token_count, "KNOWN_BYTES", 8000)
     monkeypatch.setattr(token_count, "PIECES_AT_ONCE", 7)
     library, own = sentencepiece.SentencePieceProcessor(model_file=MODEL), token_count.Counter(MODEL)
     texts = odd_texts(6)[:300]
