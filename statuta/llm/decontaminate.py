@@ -2,14 +2,16 @@
 
 A test item with q shingles is contained in a document that holds need = ceil(threshold * q) of them or more.  The
 item's sketch is its bottom-k MinHash: its k = q - need + 1 shingles of least hash.  Whatever the document, fewer than
-k of the item's shingles may be absent from it, so a contaminated document shares at least one sketch value: the
-candidate search loses nothing, however long the document.  (A sketch of fixed size on the document side cannot do
-that: for an item of 30 shingles in a document of 20,000 the Jaccard similarity is about 0.001.)  Documents are
-partitioned by size in powers of two; each partition probes only the items that its largest size could contain.
+k of the item's shingles may be absent from it, so a contaminated document shares at least one sketch value: the sketch
+works as an exact prefix filter, the candidate search has a recall of 1 however long the document, and the exact count of
+common shingles decides.  (A signature of fixed size on the document side cannot do that: for an item of 30 shingles in a
+document of 20,000 the Jaccard similarity is about 0.001.  So documents have no signature; they are partitioned by size
+in powers of two, and each partition probes only the items that its largest size could contain.)
 
 Items are the query set: they go to the executors in blocks of at most ``block_shingles`` shingles (8 bytes each), one
-pass over the documents for each block, so a broadcast is bounded whatever the number of items.  Documents are not
-shuffled; copies of a document give rows of their own.
+pass over the documents for each block.  One block is broadcast at a time and released once its pass is written, so
+neither the driver nor a worker ever holds more than one.  Documents are not shuffled; copies of a document give rows of
+their own.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._io import limit_batches, map_columns, materialize, ship
+from ._io import map_batches, map_columns, materialize, slices
 from ._words import mix, shingle_sets
 
 _BITS = 22
@@ -74,25 +78,33 @@ def _hits(sets: list[np.ndarray], items: list[tuple[np.ndarray, int]], probes: d
                 yield row, i, common
 
 
-def _item_blocks(items: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], block_shingles: int) -> Iterator[tuple[pa.Array, list]]:
-    """Ids and (set, need) of the items, in blocks of about ``block_shingles`` shingles."""
+def _item_blocks(items: DataFrame, id_col: str, text_col: str, words: int, threshold: tuple[int, int], block_shingles: int) -> Iterator[tuple[bool, Broadcast]]:
+    """Whether it is the last one, and a broadcast (ids, [(set, need)]) of each block of about ``block_shingles`` shingles.
+
+    A block is released when the next one is asked for; the caller has written its pass by then.
+    """
     num, den = threshold
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _sets(batch.column(1), words)
+        for part in (p for b in batches for p in slices(b, 1)):
+            sets = _sets(part.column(1), words)
             at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["item", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["item", "shingles"])
 
     schema = f"item {items.schema[id_col].dataType.simpleString()}, shingles array<long>"
     sets = materialize(map_columns(items, [id_col, text_col], kernel, schema).where(F.size("shingles") > 0), "items")
     blocks = max(1, math.ceil((sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) / block_shingles))
+    shared = None
     for b in range(blocks):
+        if shared is not None:
+            shared.destroy()
         part = sets.where(F.pmod(F.xxhash64("shingles"), F.lit(blocks)) == b).toArrow()
         lists = part.column("shingles").combine_chunks() if part.num_rows else []
         arrays = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in lists]
-        yield part.column("item"), [(a, -(-num * len(a) // den)) for a in arrays]
+        shared = items.sparkSession.sparkContext.broadcast((part.column("item").to_pylist(), [(a, -(-num * len(a) // den)) for a in arrays]))
+        del part, lists, arrays
+        yield b == blocks - 1, shared
 
 
 def contained_items(
@@ -115,14 +127,14 @@ def contained_items(
     """
     kinds = [items.schema[item_id_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()]
     found = None
-    for ids, wanted in _item_blocks(items, item_id_col, item_text_col, words, threshold, block_shingles):
-        names, item_type = ids.to_pylist(), ids.type
+    item_type = to_arrow_type(items.schema[item_id_col].dataType)
+    for last, shared in _item_blocks(items, item_id_col, item_text_col, words, threshold, block_shingles):
 
-        def kernel(batches: Iterator[pa.RecordBatch], names=names, wanted=wanted, item_type=item_type) -> Iterator[pa.RecordBatch]:
+        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             probes: dict[int, _Probe] = {}
+            names, wanted = shared.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 250):
-                    part = batch.slice(lo, 250)
+                for part in slices(batch, 1):
                     hits = list(_hits(_sets(part.column(1), words), wanted, probes))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -135,6 +147,7 @@ def contained_items(
                     )
 
         hits = map_columns(docs, [id_col, text_col], kernel, f"item {kinds[0]}, doc {kinds[1]}, n_item_shingles long, n_common long")
+        hits = hits if last else materialize(hits, "hits")
         found = hits if found is None else found.union(hits)
     return found.select(F.col("item").alias(item_id_col), F.col("doc").alias(id_col), "n_item_shingles", "n_common")
 
@@ -148,21 +161,25 @@ def drop_contaminated(
     threshold: tuple[int, int] = (80, 100),
     block_shingles: int = 1_000_000,
 ) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns; rows are judged in place, without a join."""
+    """The rows of ``docs`` that contain no item, with all their columns; rows are judged in place, without a join.
+
+    Null, empty and wordless texts contain nothing and stay; very long texts are read whole; repeated rows all stay or all
+    go.  Items with a null or wordless text match nothing; without items all rows stay.  An empty table stays empty.  Names
+    of columns don't matter but for the text's.
+    """
     at, schema = docs.columns.index(text_col), docs.schema
-    ship(docs.sparkSession)
-    limit_batches(docs.sparkSession)
     numbered = items.select(F.monotonically_increasing_id().alias("item"), F.col(item_text_col).alias("text"))
-    for _, wanted in _item_blocks(numbered, "item", "text", words, threshold, block_shingles):
+    for last, shared in _item_blocks(numbered, "item", "text", words, threshold, block_shingles):
 
-        def kernel(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+        def kernel(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             probes: dict[int, _Probe] = {}
+            _, wanted = shared.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 250):
-                    part = batch.slice(lo, 250)
+                for part in slices(batch, at):
                     clean = np.ones(part.num_rows, dtype=bool)
                     clean[[r for r, _, _ in _hits(_sets(part.column(at), words), wanted, probes)]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(kernel, schema)
+        docs = map_batches(docs, kernel, schema)
+        docs = docs if last else materialize(docs, "clean")
     return docs
