@@ -8,24 +8,24 @@ sums them by row.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import limit_batches, map_columns, ship, strings
+from ._io import map_batches, map_columns, slices, strings
 
 BUCKET_BITS = 17
 ORDERS = (1, 2, 3)
 MAX_CELLS = 1 << 26
 SLICE = 1 << 18
 _U = np.uint64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(id_col: str) -> Column:
@@ -85,14 +85,23 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = 0.5) -> LanguageModel:
-    """Model of all rows with a text and a language.  Without any, the model has no language and rejects every text."""
+    """Model of all rows with a text and a language.  Without any, the model has no language and rejects every text.
+
+    Rows with a null text or language are left out, empty texts count in the prior alone, repeated rows count each time, and
+    very long texts are counted in slices.  Ties do not occur.  Other columns are not read.  A language column of more values
+    than a matrix of ``MAX_CELLS`` cells has rows is refused before anything is counted.
+    """
+    most = MAX_CELLS >> BUCKET_BITS
+    values = docs.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().limit(most + 1).count()
+    if values > most:
+        raise ValueError(f"more than {most} languages: their matrix is not sent to every executor")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            texts = strings(pc.utf8_lower(batch.column(0)))
+        for part in (p for b in batches for p in slices(b, 0, 1000)):
+            langs = part.column(1).to_pylist()
+            texts = strings(pc.utf8_lower(part.column(0)))
             for lang in sorted(set(langs)):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 total = counts.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
@@ -109,8 +118,6 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha:
     counts = map_columns(known, [text_col, lang_col], kernel, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toArrow()  # at most languages x (buckets + 1) rows, however many documents
     languages = sorted(set(table.column("lang").to_pylist()))
-    if len(languages) << BUCKET_BITS > MAX_CELLS:
-        raise ValueError(f"{len(languages)} languages are more than a broadcast matrix of {MAX_CELLS} cells holds")
     place = {x: i for i, x in enumerate(languages)}
     row = np.array([place[x] for x in table.column("lang").to_pylist()], np.int64)
     bucket, n = table.column("bucket").to_numpy(), table.column("n").to_numpy()
@@ -160,23 +167,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, p = predictions(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["id", "lang_pred", "score"])
+        for part in (p for b in batches for p in slices(b, 1, 1000)):
+            lang, p = predictions(shared.value, part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(p, pa.float64())], ["id", "lang_pred", "score"])
 
     out = map_columns(docs, [id_col, text_col], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is not ``und``, with all their columns."""
-    ship(docs.sparkSession)
-    limit_batches(docs.sparkSession)
+    """The rows of ``docs`` whose language is not ``und``, with all their columns.
+
+    Rows with a null, empty or letterless text go, and all rows if the model has no language.  Repeated rows all stay or all
+    go; very long texts are read whole; an empty table stays empty.  Names of columns don't matter but for the text's.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, _ = predictions(shared.value, batch.column(at))
-            yield batch.filter(pa.array([x != "und" for x in lang], pa.bool_()))
+        for part in (p for b in batches for p in slices(b, at, 1000)):
+            lang, _ = predictions(shared.value, part.column(at))
+            yield part.filter(pa.array([x != "und" for x in lang], pa.bool_()))
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return map_batches(docs, kernel, docs.schema)
