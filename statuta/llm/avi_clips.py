@@ -8,6 +8,7 @@ plus ``spread`` standard deviations of the file's differences and no less than `
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ WIDTH, HEIGHT = 64, 16  # of a stored frame: 16 blocks, 1024 bytes
 BINS = 16
 SPREAD, FLOOR = 2.0, 0.05
 BATCH_BYTES = 1 << 20
-FRAMES_AT_ONCE = 1024
+BLOCKS_AT_ONCE = 16_384  # of 64 coefficients
 
 
 @dataclass(frozen=True)
@@ -62,18 +63,20 @@ def read_avi(data: bytes) -> Video:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
     size, frame_us, info, index, movi, walked = (0, 0), 0, {}, b"", 0, []
-
-    def walk(lo: int, hi: int, inside: bytes) -> None:
-        nonlocal size, frame_us, index, movi
+    ranges = [(12, len(data), b"")]  # what is still to be walked, innermost last: lists may nest to any depth
+    while ranges:
+        lo, hi, inside = ranges.pop()
         while lo + 8 <= hi:
             name, n = data[lo : lo + 4], int.from_bytes(data[lo + 4 : lo + 8], "little")
             body = lo + 8
+            lo = body + n + n % 2
             if name == b"LIST":
                 kind = data[body : body + 4]
                 if kind == b"movi":
                     movi = body
-                walk(body + 4, min(hi, body + n), kind if kind != b"rec " else inside)
-            elif name == b"avih":
+                ranges += [(lo, hi, inside), (body + 4, min(hi, body + n), inside if kind == b"rec " else kind)]
+                break
+            if name == b"avih":
                 frame_us, size = struct.unpack_from("<I", data, body)[0], struct.unpack_from("<II", data, body + 32)
             elif name == b"idx1":
                 index = data[body : body + n]
@@ -81,9 +84,6 @@ def read_avi(data: bytes) -> Video:
                 info[name.decode("latin-1")] = data[body : body + n]
             elif inside == b"movi" and name[2:4] in (b"dc", b"db"):
                 walked.append((body, n))
-            lo = body + n + n % 2
-
-    walk(12, len(data), b"")
     if index:
         rows = np.frombuffer(index[: len(index) // 16 * 16], np.dtype([("name", "S4"), ("flags", "<u4"), ("at", "<u4"), ("n", "<u4")]))
         rows = rows[[x[2:4] in (b"dc", b"db") for x in rows["name"]]]
@@ -112,32 +112,74 @@ class Decoded:
     stored: bytes  # the coefficients as bytes, where the file holds a payload
 
 
-def decode(videos: list[Video]) -> list[Decoded]:
-    """Luma histograms and stored payloads; frames of equal layout are decoded together, whatever file they are of."""
+_BROKEN = (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error)
+
+
+def _payload_bytes(video: Video) -> int | None:
+    """Length of the stored payload that the comment names, if it is one of ours."""
+    found = re.fullmatch(rb"payload (\d{1,18})\x00*", video.info.get("ICMT", b""))
+    return int(found[1]) if found else None
+
+
+def _layouts(video: Video) -> list[tuple[mjpeg.Layout, int]]:
+    """Layout of each frame and where its data starts; a frame of more blocks than its bits can hold is refused."""
+    out = [mjpeg.frame_layout(frame) for frame in video.frames]
+    for frame, (layout, start) in zip(video.frames, out, strict=True):
+        if not 0 < mjpeg.blocks_of(layout) <= 4 * (len(frame) - start):  # a block takes two bits at least
+            raise ValueError("a frame is cut")
+    return out
+
+
+def decode(videos: list[Video]) -> tuple[list[Decoded], list[bool]]:
+    """Luma histograms and stored payloads, and whether each file is whole.
+
+    Frames of equal layout are decoded together, whatever file they are of.  A file with a broken frame has neither frames
+    nor a payload; the others are not touched by it.
+    """
+    placed, whole = [], []
+    for video in videos:
+        try:
+            placed.append(_layouts(video))
+            whole.append(True)
+        except _BROKEN:
+            placed.append([])
+            whole.append(False)
     groups: dict[mjpeg.Layout, list[tuple[int, int, bytes, int]]] = {}
     for v, video in enumerate(videos):
-        for i, frame in enumerate(video.frames):
-            layout, start = mjpeg.frame_layout(frame)
-            groups.setdefault(layout, []).append((v, i, frame, start))
-    hist = [np.zeros((len(v.frames), BINS), np.int64) for v in videos]
-    wanted = [v.info.get("ICMT", b"").startswith(b"payload ") for v in videos]
-    bytes_of: list[list[bytes]] = [[b""] * len(v.frames) for v in videos]
-    for layout, rows in groups.items():
-        for lo in range(0, len(rows), FRAMES_AT_ONCE):
-            some = rows[lo : lo + FRAMES_AT_ONCE]
+        for i, (layout, start) in enumerate(placed[v]):
+            groups.setdefault(layout, []).append((v, i, video.frames[i], start))
+    hist = [np.zeros((len(p), BINS), np.int64) for p in placed]
+    wanted = [_payload_bytes(v) if ok else None for v, ok in zip(videos, whole, strict=True)]
+    bytes_of: list[list[bytes]] = [[b""] * len(p) for p in placed]
+
+    def run(layout: mjpeg.Layout, some: list[tuple[int, int, bytes, int]]) -> None:
+        try:
             values = mjpeg.coefficients([f for _, _, f, _ in some], [s for _, _, _, s in some], layout)[0]
             luma = mjpeg.samples(values, layout.parts[0].quant, layout.width, layout.height)
-            counts = np.bincount((np.arange(len(some))[:, None] * BINS + (luma.reshape(len(some), -1) >> 4)).reshape(-1), minlength=len(some) * BINS).reshape(-1, BINS)
-            raw = np.where(values < 0, values + 255, values).astype(np.uint8).reshape(len(some), -1)
-            for k, (v, i, _, _) in enumerate(some):
-                hist[v][i] = counts[k]
-                if wanted[v]:
-                    bytes_of[v][i] = raw[k].tobytes()
+        except _BROKEN:
+            files = sorted({v for v, _, _, _ in some})
+            if len(files) == 1:
+                whole[files[0]] = False
+            else:  # find the file by halves
+                for part in (files[: len(files) // 2], files[len(files) // 2 :]):
+                    run(layout, [r for r in some if r[0] in part])
+            return
+        counts = np.bincount((np.arange(len(some))[:, None] * BINS + (luma.reshape(len(some), -1) >> 4)).reshape(-1), minlength=len(some) * BINS).reshape(-1, BINS)
+        raw = np.where(values < 0, values + 255, values).astype(np.uint8).reshape(len(some), -1)
+        for k, (v, i, _, _) in enumerate(some):
+            hist[v][i] = counts[k]
+            if wanted[v] is not None:
+                bytes_of[v][i] = raw[k].tobytes()
+
+    for layout, rows in groups.items():
+        step = max(1, BLOCKS_AT_ONCE // mjpeg.blocks_of(layout))
+        for lo in range(0, len(rows), step):
+            run(layout, rows[lo : lo + step])
     out = []
-    for v, video in enumerate(videos):
-        stored = b"".join(bytes_of[v])[: int(video.info["ICMT"].rstrip(b"\x00")[8:])] if wanted[v] else b""
-        out.append(Decoded(hist[v], stored))
-    return out
+    for v in range(len(videos)):
+        stored = b"".join(bytes_of[v])[: wanted[v]] if wanted[v] is not None and whole[v] else b""
+        out.append(Decoded(hist[v] if whole[v] else hist[v][:0], stored))
+    return out, whole
 
 
 def shots(histograms: np.ndarray, spread: float = SPREAD, floor: float = FLOOR) -> list[tuple[int, int]]:
@@ -155,7 +197,7 @@ def _read(data: bytes | None) -> Video:
     """A null, empty or broken file is a video without frames."""
     try:
         return read_avi(data or b"")
-    except (ValueError, struct.error, IndexError):
+    except _BROKEN:
         return Video(0, 0, 0, [], {})
 
 
@@ -173,7 +215,10 @@ def _batched(rows: list[tuple[object, bytes | None]]) -> Iterator[list[tuple[obj
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, media): each whole text (null: empty) stored as an AVI file."""
+    """(id_col, n_bytes, media): each whole text (null: empty), however long, stored as an AVI file of its own.
+
+    Repeated rows give equal rows, an empty table none; other columns are not read.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,16 +234,18 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(id_col, clip, start_frame, end_frame, start_s, end_s, width, height) of each shot of each file.
 
-    Null, empty and broken files have no clips.  Repeated rows give equal rows.
+    Null, empty and broken files, and files with a broken frame, have no clips.  A comment of another writer is no payload.
+    Very long files are read whole, their frames some at a time.  Repeated rows give equal rows; an empty table gives none.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in _batched(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))):
                 videos = [_read(m) for _, m in rows]
+                decoded, _ = decode(videos)
                 out = [
                     (name, k, a, b, a * v.frame_us / 1e6, b * v.frame_us / 1e6, v.width, v.height)
-                    for (name, _), v, d in zip(rows, videos, decode(videos), strict=True)
+                    for (name, _), v, d in zip(rows, videos, decoded, strict=True)
                     for k, (a, b) in enumerate(shots(d.histograms))
                 ]
                 kinds = [batch.column(0).type, *[pa.int64()] * 3, pa.float64(), pa.float64(), pa.int64(), pa.int64()]
@@ -213,7 +260,8 @@ def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """(id_col, *keep, payload, media_bytes, media_sha256, feature) of each stored file.
 
     payload: the stored bytes, empty where the file holds none; feature: frames, size, ends of the clips and a hash of the
-    histograms.  Null, empty and broken files: no frames and an empty payload.  Repeated rows give equal rows.
+    histograms.  Null, empty and broken files, and files with a broken frame: no frames and an empty payload.  Repeated rows
+    give equal rows; an empty table gives none.
     """
     kept = [media.schema[c] for c in keep]
 
@@ -222,9 +270,9 @@ def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
             files, lo = batch.column(1).to_pylist(), 0
             for rows in _batched([(None, m) for m in files]):
                 videos = [_read(m) for _, m in rows]
-                decoded = decode(videos)
+                decoded, _ = decode(videos)
                 feature = [
-                    f"{len(v.frames)}x{v.width}x{v.height};clips={','.join(f'{a}-{b}' for a, b in shots(d.histograms))};hist={zlib.crc32(d.histograms.astype('<i8').tobytes()):08x}"
+                    f"{len(d.histograms)}x{v.width}x{v.height};clips={','.join(f'{a}-{b}' for a, b in shots(d.histograms))};hist={zlib.crc32(d.histograms.astype('<i8').tobytes()):08x}"
                     for v, d in zip(videos, decoded, strict=True)
                 ]
                 part = batch.slice(lo, len(rows))

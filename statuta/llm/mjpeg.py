@@ -2,7 +2,8 @@
 
 The writer stores 64 bytes as the 64 quantised coefficients of an 8x8 block, in scan order.  A byte b becomes b or
 b - 255, whichever has size category 8, so each coefficient is one code bit and the byte itself; every block is a restart
-interval, so blocks decode independently.  Any baseline decoder reads these frames.
+interval, so blocks decode independently.  The frames follow the baseline format; tests read them with this decoder alone,
+as no other one is at hand.
 
 The decoder takes frames of one component or of several interleaved ones, with any Huffman tables, and steps through all
 restart intervals of a batch of frames at once.
@@ -98,6 +99,12 @@ class Layout:
     parts: tuple[Component, ...]
 
 
+def blocks_of(layout: Layout) -> int:
+    """Blocks of a frame, padding among them."""
+    hmax, vmax = max(p.h for p in layout.parts), max(p.v for p in layout.parts)
+    return -(-layout.width // (8 * hmax)) * -(-layout.height // (8 * vmax)) * sum(p.h * p.v for p in layout.parts)
+
+
 @lru_cache(256)
 def _lookup(table: bytes) -> np.ndarray:
     """For each 16 bits: length of the code << 8 | symbol (length 0: no code), from the counts and symbols of a DHT table."""
