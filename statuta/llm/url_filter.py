@@ -24,21 +24,23 @@ CANONICAL_TAG, CANONICAL_URL = r"""(?is)<link\s[^>]*rel\s*=\s*["']?canonical["'\
 REFRESH_TAG, REFRESH_URL = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s/>][^>]*>?""", r"""(?is)url\s*=\s*["']?([^"'\s>;]+)"""
 
 
+def _after_scheme(url: Column) -> Column:
+    return F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """After the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; without "://": empty."""
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise("")
-    return F.translate(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
-    after = F.when(F.instr(url, "://") > 0, F.expr("substring(_u, instr(_u, '://') + 3)")).otherwise("")
-    return F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
 def with_parts(df: DataFrame, url_col: str) -> DataFrame:
     """``df`` with host and path of ``url_col`` (null or without "://": both empty)."""
-    u = F.coalesce(F.col(url_col), F.lit(""))
-    return df.withColumn("_u", u).withColumn("host", host_of(F.col("_u"))).withColumn("path", path_of(F.col("_u"))).drop("_u")
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    return df.withColumns({"host": host_of(url), "path": path_of(url)})
 
 
 def longest_rule(rules: list[Rule], host: Column, path: Column) -> Column:
@@ -52,7 +54,11 @@ def longest_rule(rules: list[Rule], host: Column, path: Column) -> Column:
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target) of each redirect and canonical link in the pages, the target made absolute."""
+    """(url, target) of each redirect and canonical link in the pages, the target made absolute.
+
+    The first tag of each kind in a whole page counts.  Null urls, urls without "://" and null or empty pages have no links;
+    repeated rows give equal rows, an empty table none.  Other columns are not read.
+    """
     html, out = F.coalesce(F.col(html_col), F.lit("")), []
     for tag, inner in ((CANONICAL_TAG, CANONICAL_URL), (REFRESH_TAG, REFRESH_URL)):
         out.append(F.regexp_extract(F.regexp_extract(html, tag, 0), inner, 1))
@@ -92,7 +98,6 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id",
 
 def _node(column: str) -> Column:
     """Node of a url: its host in lower case and the rest, without scheme and fragment; null without "://"."""
-    u = F.col(column)
-    after = F.expr(f"substring({column}, instr({column}, '://') + 3)")
-    host = F.translate(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1), _UPPER, _LOWER)
-    return F.when(F.instr(u, "://") > 0, F.concat(host, F.regexp_extract(after, r"(?s)^[^/?#]*([^#]*)", 1)))
+    url = F.col(column)
+    rest = F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), rest))
