@@ -1,7 +1,6 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Features of a text are the counts of its words and word pairs in hashed buckets, scaled to unit length; a pair of equal
-words also counts in one bucket of its own.  Training runs in one executor task over a bounded, documented sample of
+Features of a text are the counts of its words and word pairs in hashed buckets, scaled to unit length.  Training runs in one executor task over a bounded, documented sample of
 labelled rows (``max_rows`` of least id hash), example by example with FTRL-proximal steps; the weights, one float for
 each bucket, are broadcast.  A score is a sparse dot product, made for a whole batch in numpy.
 """
@@ -25,12 +24,11 @@ _U = np.uint64
 
 
 def _features(words: np.ndarray) -> np.ndarray:
-    """Bucket of each word, word pair and repeated word of one text."""
+    """Bucket of each word and word pair of one text."""
     if not len(words):
         return np.zeros(0, np.int64)
     pairs = mix(words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:])
-    again = np.full(int((words[:-1] == words[1:]).sum()), 0x5DEECE66D, dtype=np.uint64)
-    return (mix(np.concatenate((words, pairs, again))) >> _U(64 - BUCKET_BITS)).astype(np.int64)
+    return (mix(np.concatenate((words, pairs))) >> _U(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _vector(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +59,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weights learned from the ``max_rows`` labelled rows of least id hash.
 
     Labels other than 0 and 1 and null ids are left out; an id with several labels counts as the larger one.  A null text is
-    an empty one, an id of several texts gives an example for each.  Without examples all weights are 0, every score 0.5.
+    an empty one; of an id with several texts the least is the example, so repeated rows add none and the bound holds.  Very
+    long texts are read whole.  Without examples all weights are 0, every score 0.5.  Other columns are not read.
     """
     ship(docs.sparkSession)
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     chosen = usable.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "h", "y").agg(F.min("text").alias("text"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
