@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import materialize
+from ._io import discard, materialize
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -42,13 +42,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
-        links = materialize(
+        previous, links = links, materialize(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where(F.col("u") != F.col("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .distinct(),
             "cc",
         )
+        discard(previous)
         now = _digest(links)
         if now == before:
             break

@@ -8,13 +8,20 @@ the Jaccard similarity with Chernoff-type bounds in O(n + t log t) hash evaluati
 Plan
 1. One pass over the texts: set size, a 128-bit fingerprint of the full shingle set, and band keys of the sketch.
 2. Rows with equal sets form a class by their fingerprint; only its least id goes on, so thousands of copies are one node.
-3. Each band bucket ties its members to its least member, its head (a star: rows stay linear in the bucket).  Each
-   member is compared with the least of its heads on the full sets; confirmed links give components.
-4. What the stars bring together is a group.  Groups that hold several components are checked in square blocks of
-   members: a task compares two blocks of bounded size on the full sets and emits no more than a forest of confirmed
-   links between components.  Of a group beyond GROUP_MOST members, each bucket is dealt into blocks instead.  So no
-   candidate pair is skipped, no row per pair is made, and a set is sent once for each block that it meets.
-5. Components of all confirmed links.
+3. Each band bucket ties its members to its least member, its head (a star: rows stay linear in the bucket).  What the
+   buckets of one head hold is a star set, and any two members of one bucket are in one star set.  Where a head has a
+   lesser head of its own, its star set goes over to that one, so the many heads of a tight group are one.
+4. Each member sits in the star set of its least head.  A star set is dealt into blocks of bounded size, the head in all
+   of them; a task takes one block and emits a forest of the links in it, confirmed on the full sets.  Components follow.
+5. A star set is open while it holds several components and not all of its members met in one block.  It has a settled
+   side, whose members are one component or met in one block (the larger of the two), and the rest; both are dealt into
+   blocks.  A task takes a block of each, or two of the rest.  So every pair of a bucket is either in one component or
+   compared on the full sets, no row per pair is made, and the members of a large component are sent once for each block
+   of the rest and not for each block of their own.
+6. Components of all confirmed links.
+
+Inside a task candidates come from an exact prefix filter: of two sets with a similarity of s or more, those of the first
+n - ceil(s * n) + 1 shingles of each, rarest in the task first, must share one.
 
 With ``bands`` bands of ``rows`` coordinates a link at the threshold is missed with probability (1 - s^rows)^bands; rows
 is the largest for which that is 1e-8 or less.
@@ -22,7 +29,7 @@ is the largest for which that is 1e-8 or less.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._io import map_columns, materialize, ship
+from ._io import discard, give_back, limit_batches, map_columns, materialize, ship, slices
 from ._words import mix, shingle_sets
 from .components import connected_components
 
-BLOCK = 1024
-GROUP_MOST = 16 * BLOCK
-FILTER_BITS = 24  # a bitmap of 2 MB
+BLOCK = 1024  # members of a block
+BLOCK_SHINGLES = 1 << 18  # shingles of a block
+MOST_BITS = 1 << 28  # of a bitmap: 32 MB
 _U = np.uint64
 
 
@@ -90,8 +97,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int,
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
+            for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), words, kind)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 fp_a = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
@@ -107,12 +113,21 @@ def features(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int,
     return map_columns(docs, [id_col, text_col], kernel, schema)
 
 
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap for n ids: 16 to 32 for each, a power of two, ``MOST_BITS`` at most.
+
+    Beyond 2**24 ids the share of foreign ids that pass grows from a few hundredths; they cost a shuffle and change nothing.
+    """
+    return min(MOST_BITS, 1 << max(10, (16 * n - 1).bit_length()))
+
+
 def id_filter(ids: DataFrame, id_col: str) -> np.ndarray:
-    """Bitmap of hashed ids, of one size whatever their number: an id whose bit is not set is not among them."""
-    at = ids.select(F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("at"))
+    """Bitmap of hashed ids, sized by their number: an id whose bit is not set is not among them."""
+    bits = bitmap_bits(ids.count())
+    at = ids.select(F.pmod(F.xxhash64(id_col), F.lit(bits)).alias("at"))
     words_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    table = words_.toArrow()  # at most 2**FILTER_BITS / 64 rows
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    table = words_.toArrow()  # at most MOST_BITS / 64 rows
+    out = np.zeros(bits >> 6, np.int64)
     out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
     return out.view(np.uint64)
 
@@ -121,6 +136,10 @@ def _maybe(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0
 
 
+def _place(id_col: str, bitmap: np.ndarray) -> Column:
+    return F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(len(bitmap) << 6))
+
+
 def maybe_among(df: DataFrame, id_col: str, bitmap: np.ndarray) -> Column:
     """Whether an id may be among those of a bitmap; false is certain, a null id is false."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
@@ -129,140 +148,144 @@ def maybe_among(df: DataFrame, id_col: str, bitmap: np.ndarray) -> Column:
     def test(at: pd.Series) -> pd.Series:
         return pd.Series(_maybe(shared.value, at.to_numpy(np.int64)))
 
-    return F.col(id_col).isNotNull() & test(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << FILTER_BITS)))
+    return F.col(id_col).isNotNull() & test(_place(id_col, bitmap))
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, words: int, kind: str, bitmap: np.ndarray) -> DataFrame:
-    """(id, shingles) of each row whose id may be among those of a bitmap; texts are not shuffled."""
+    """(id, n, shingles) of each row whose id may be among those of a bitmap; texts are not shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_maybe(shared.value, batch.column(2).to_numpy(zero_copy_only=False))))
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
+            for part in slices(batch, 1):
                 sets = shingle_sets(part.column(1), words, kind)
-                at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["id", "shingles"])
+                n = np.array([len(s) for s in sets], dtype=np.int64)
+                at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), lists], ["id", "n", "shingles"])
 
-    hashed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS)).alias("_at"))
-    return map_columns(hashed, [id_col, text_col, "_at"], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, shingles array<long>")
+    hashed = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, _place(id_col, bitmap).alias("_at"))
+    return map_columns(hashed, [id_col, text_col, "_at"], kernel, f"id {docs.schema[id_col].dataType.simpleString()}, n long, shingles array<long>")
 
 
-def _confirm(num: int, den: int):
-    """Arrow kernel: keep the pairs (a, b, sa, sb) whose sets pass den * |A & B| >= num * |A | B|."""
+def forest(flat: np.ndarray, size: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j) of a left and a right set with other labels and den * |A & B| >= num * |A | B|, as a forest over the labels.
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(zero_copy_only=False), right[i].values.to_numpy(zero_copy_only=False)
-                keep.append(_linked(x, y, num, den))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return kernel
-
-
-def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    """Both sorted by the same order and without repeats."""
-    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-        return False
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return den * common >= num * (len(x) + len(y) - common)
-
-
-def _block_links(num: int, den: int):
-    """Grouped kernel over two blocks of a bucket: links between components, as a forest."""
-
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        side, ids, comp = pdf["side"].to_numpy(), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        sets = [np.asarray(s, dtype=np.int64) for s in pdf["shingles"]]
-        size = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        _, code = np.unique(flat, return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        first = np.searchsorted(code, np.arange(code[-1] + 2))
-        at = np.concatenate(([0], np.cumsum(size)))
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = code
-        root: dict = {}
-
-        def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
-            return x
-
-        out_a, out_b = [], []
-        one_block = (side == 0).all()
-        right = np.flatnonzero(side == (0 if one_block else 1))
-        is_right = np.zeros(len(sets), dtype=bool)
-        is_right[right] = True
-        for i in np.flatnonzero(side == 0):
-            mine = find(comp[i])
-            other = is_right & np.array([find(c) != mine for c in comp])
-            if one_block:
-                other[: i + 1] = False
-            if not other.any():
-                continue
-            codes = back[at[i] : at[i + 1]]
-            lo, hi = first[codes], first[codes + 1]
-            span = hi - lo
-            idx = np.repeat(hi - np.cumsum(span), span) + np.arange(span.sum())
-            common = np.bincount(owner[idx], minlength=len(sets))
-            for j in np.flatnonzero(other & (den * common >= num * (size + size[i] - common))):
-                if find(comp[j]) != find(comp[i]):
-                    root[find(comp[j])] = find(comp[i])
-                    out_a.append(ids[i])
-                    out_b.append(ids[j])
-        return pd.DataFrame({"a": pd.Series(out_a, dtype="int64"), "b": pd.Series(out_b, dtype="int64")})
+    ``flat`` holds the sets one after the other, ``size`` their lengths.  Linked labels are made one in ``label``.
+    """
+    at = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(size)), size)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    flat = np.sort(owner * len(often) + rank[code.reshape(-1)]) - owner * len(often)  # rarest first, set by set
+    prefix = np.flatnonzero(np.arange(len(flat)) - at[owner] <= size[owner] + (-num * size[owner] // den))
+    posted = prefix[np.argsort(flat[prefix], kind="stable")]
+    lists, holder = np.searchsorted(flat[posted], np.arange(len(often) + 1)), owner[posted]
+    out, mark, wanted = [], np.zeros(len(often), dtype=bool), np.zeros(len(size), dtype=bool)
+    for i in np.flatnonzero(left).tolist():
+        wanted = right & (label != label[i]) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i]))
+        if not wanted.any():
+            continue
+        mine = flat[at[i] : at[i + 1]]
+        probe = mine[: size[i] + (-num * size[i] // den) + 1]
+        span = lists[probe + 1] - lists[probe]
+        found = np.unique(holder[np.repeat(lists[probe + 1] - np.cumsum(span), span) + np.arange(span.sum())])
+        found = found[wanted[found] & (~left[found] | (found > i))]  # two left ones are met once
+        mark[mine] = True
+        while len(found):
+            some, found = found[:64], found[64:]
+            stop = np.cumsum(size[some])
+            shared = mark[flat[np.repeat(at[some + 1] - stop, size[some]) + np.arange(stop[-1])]]
+            common = np.add.reduceat(shared, stop - size[some], dtype=np.int64)
+            for j in some[den * common >= num * (size[some] + size[i] - common)].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    out.append((i, j))
+            found = found[label[found] != label[i]]
+        mark[mine] = False
+    return out
+
+
+def _linked(num: int, den: int) -> Callable[[pa.Table], pa.Table]:
+    """Grouped kernel: confirmed links of rows (id, label, side, shingles), of side 0 with side 1, or among all if there is no side 1."""
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        _, label = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        right = side == 1 if (side == 1).any() else side == 0
+        found = forest(lists.flatten().to_numpy(), size, label, side == 0, right, num, den)
+        give_back()
+        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
 
     return links
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _block(n: str) -> Column:
+    return F.expr(f"cast(pmod(xxhash64(id, 7), {n}) as int)")
+
+
 def confirmed_links(feats: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, kind: str = "space") -> DataFrame:
     """Confirmed links (a, b) between classes that connect all that the bands bring together; ids are class leaders."""
     leaders = feats.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     slots = materialize(leaders.select("id", F.explode("bands").alias("key")), "bands")
-    heads = slots.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("who")).where("m > 1")
-    # equal buckets of several bands are one
-    heads = materialize(heads.groupBy("head", "m", "who").agg(F.min("key").alias("key")), "heads")
-    members = materialize(slots.join(heads.drop("who"), "key"), "members")
-    pairs = members.where("id <> head").select("id", "head").distinct()
-    involved = pairs.select("id").union(pairs.select(F.col("head").alias("id"))).distinct()
+    heads = slots.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
+    heads = materialize(heads, "heads")
+    in_doubt = slots.where(maybe_among(slots, "key", id_filter(heads, "key")))  # most buckets hold one class: they are not shuffled again
+    stars = materialize(in_doubt.join(heads, "key").select("id", "head").distinct(), "stars")  # a head is a member of its own star set
+    discard(slots, heads)
+    over = stars.groupBy(F.col("id").alias("head")).agg(F.min("head").alias("lesser")).join(stars.select("head").distinct(), "head", "left_semi").where("lesser < head")
+    members = materialize(stars.join(over, "head", "left").select("id", F.coalesce("lesser", "head").alias("head")).distinct(), "members")
+    discard(stars)
+    involved = members.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # rows of one id that differ in text are one node; each of its sets may link it
-    sets = full_sets(texts, "id", "text", words, kind, id_filter(involved, "id")).where(F.size("shingles") > 0)
-    sets = materialize(sets.join(involved, "id", "left_semi"), "sets")
+    sets = materialize(full_sets(texts, "id", "text", words, kind, id_filter(involved, "id")).where("n > 0"), "sets")
+    # each member in the star set of its least head, and the head in all blocks
+    seats = members.groupBy("id").agg(F.min("head").alias("head")).where("id <> head")
+    weights = sets.groupBy("id").agg(F.sum("n").alias("n"))
+    sized = seats.join(weights, "id").groupBy("head").agg(_blocks(F.count("*"), F.sum("n")).alias("nb"))
+    seated = seats.join(sized, "head").select("id", "head", _block("nb").alias("i"), (F.col("nb") == 1).alias("met"))
+    seated = materialize(seated.union(sized.select(F.col("head").alias("id"), "head", F.explode(F.expr("sequence(0, nb - 1)")), F.col("nb") == 1)), "seats")
     ship(docs.sparkSession)
-    # first each member with the least of its heads: this settles most groups with one comparison a member
-    first = pairs.groupBy("id").agg(F.min("head").alias("head")).join(sets.withColumnRenamed("shingles", "sb"), "id")
-    both = first.join(sets.select(F.col("id").alias("head"), F.col("shingles").alias("sa")), "head")
-    star = materialize(both.select(F.col("head").alias("a"), F.col("id").alias("b"), "sa", "sb").mapInArrow(_confirm(num, den), "a long, b long"), "star")
-    comps = connected_components(star).select(F.col("node").alias("id"), F.col("component").alias("comp"))
-    # what the bands bring together, directly or not, is a group; one that is a single component by now needs no more
-    groups = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    placed = groups.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = placed.groupBy("grp").agg(F.count_distinct("comp").alias("c"), F.count("*").alias("m")).where("c > 1").drop("c")
-    left = materialize(placed.join(open_, "grp"), "open")
-    small = left.where(F.col("m") <= GROUP_MOST).select(F.col("grp").alias("g"), F.lit(False).alias("bucket"), "id", "comp", "m")
-    # of a larger group only members of one bucket are compared
-    large = left.where(F.col("m") > GROUP_MOST).select("id", "comp").join(members.drop("head"), "id").select(F.col("key").alias("g"), F.lit(True).alias("bucket"), "id", "comp", "m")
-    # members are dealt into blocks of about BLOCK; every pair of blocks is one task's group
-    blocks = small.union(large).withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("i", F.expr("cast(pmod(xxhash64(id, 7), nb) as int)"))
-    tasks = blocks.select(
-        "g", "bucket", "id", "comp",
-        F.explode(
-            F.expr("transform(sequence(0, nb - 1), j -> named_struct('lo', least(i, j), 'hi', greatest(i, j), 'side', if(i <= j, 0, 1)))")
-        ).alias("t"),
-    ).select("g", "bucket", "id", "comp", "t.lo", "t.hi", "t.side")
-    more = tasks.join(sets, "id").groupBy("g", "bucket", "lo", "hi").applyInPandas(_block_links(num, den), "a long, b long")
-    return star.union(materialize(more, "more"))
+    limit_batches(docs.sparkSession)
+    first = seated.join(sets, "id").select("head", "i", "id", F.col("id").alias("label"), F.lit(0).alias("side"), "shingles")
+    links = materialize(first.groupBy("head", "i").applyInArrow(_linked(num, den), "a long, b long"), "links")
+    comps = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    placed = members.join(comps, "id", "left").join(seated.where("met").select("id", "head", "met"), ["id", "head"], "left")
+    placed = placed.select("id", "head", F.coalesce("comp", "id").alias("comp"), F.coalesce("met", F.lit(False)).alias("met"))
+    shares = placed.groupBy("head", "comp").agg(F.count("*").alias("m"), F.count_if("met").alias("k"))
+    open_ = shares.groupBy("head").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.max("m").alias("a"), F.sum("m").alias("n"), F.sum("k").alias("k"), F.count("*").alias("c"))
+    open_ = open_.where("c > 1 and k < n").select("head", "most", (F.col("k") > F.col("a")).alias("by_met"))
+    settled = F.when(F.col("by_met"), F.col("met")).otherwise(F.col("comp") == F.col("most"))
+    left = materialize(placed.join(open_, "head").select("id", "head", F.col("comp").alias("label"), settled.alias("main")), "open")
+    discard(seated, members)
+    loads = left.join(weights, "id").groupBy("head").agg(
+        _blocks(F.count_if("main"), F.sum(F.when(F.col("main"), F.col("n")))).alias("na"), _blocks(F.count_if(~F.col("main")), F.sum(F.when(~F.col("main"), F.col("n")))).alias("nr")
+    )
+    dealt = left.join(loads, "head").withColumn("i", F.when(F.col("main"), _block("na")).otherwise(_block("nr")))
+    task = "named_struct('own', {own}, 'lo', {lo}, 'hi', {hi}, 'side', {side})"
+    across = task.format(own=0, lo="if(main, i, j)", hi="if(main, j, i)", side="if(main, 0, 1)")
+    within = task.format(own=1, lo="least(i, j)", hi="greatest(i, j)", side="if(i <= j, 0, 1)")
+    tasks = dealt.select(
+        "head", "id", "label",
+        F.explode(F.expr(f"if(main, transform(sequence(0, nr - 1), j -> {across}), concat(transform(sequence(0, na - 1), j -> {across}), transform(sequence(0, nr - 1), j -> {within})))")).alias("t"),
+    ).select("head", "id", "label", "t.*")
+    wanted = sets.where(maybe_among(sets, "id", id_filter(left.select("id").distinct(), "id")))
+    more = tasks.join(wanted, "id").select("head", "own", "lo", "hi", "id", "label", "side", "shingles").groupBy("head", "own", "lo", "hi").applyInArrow(_linked(num, den), "a long, b long")
+    more = materialize(more, "more")
+    discard(sets, left)
+    return links.union(more)
 
 
 def near_duplicates(
@@ -307,7 +330,7 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns."""
     lost = materialize(near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("lost_id")).distinct(), "lost")
-    # rows that are certainly kept are not shuffled
+    # rows that are certainly kept are not shuffled; each copy of an id that is lost goes
     doubt = maybe_among(docs, id_col, id_filter(lost, "lost_id"))
     maybe = docs.where(doubt)
     return docs.where(~doubt).union(maybe.join(lost, maybe[id_col].cast("long") == lost["lost_id"], "left_anti"))

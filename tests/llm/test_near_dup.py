@@ -52,13 +52,11 @@ def test_empty(no_docs):
     assert run(no_docs) == []
 
 
-def test_chains_of_copies_and_blocks(spark, monkeypatch):
-    """Groups in which neighbours are linked and far members are not, over several blocks and in buckets of large groups."""
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    monkeypatch.setattr(near_dup, "GROUP_MOST", 24)
-    r = random.Random(4)
+def chains(seed, sizes=(3, 20, 60)):
+    """Groups in which neighbours are linked and far members are not."""
+    r = random.Random(seed)
     rows, n = [], 0
-    for size in (3, 20, 60):
+    for size in sizes:
         base = [f"w{r.randint(0, 10**9)}" for _ in range(120)]
         for _ in range(size):
             for _ in range(r.randint(0, 3)):
@@ -66,10 +64,56 @@ def test_chains_of_copies_and_blocks(spark, monkeypatch):
             rows.append((n, " ".join(base)))
             n += 7
     r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block, shingles", [(1024, 1 << 18), (30, 1 << 18), (2, 1 << 18), (1024, 500)])
+def test_chains_of_copies_and_blocks(spark, monkeypatch, block, shingles):
+    """Blocks of all members, two, and forty of a group, bounded by members or by shingles: the same whole components."""
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", shingles)
+    rows = chains(4)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert run(df, words=3, threshold=(85, 100)) == brute(rows, 3, 85, 100)
 
 
+def test_large_component_against_the_rest(spark, monkeypatch):
+    """Many near copies of one text, and others of every similarity to them."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    r = random.Random(6)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(90):
+        text = list(base)
+        for k in r.sample(range(100), 1 if i % 3 else r.randint(2, 40)):
+            text[k] = f"x{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(text)))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=(85, 100)) == brute(rows, 3, 85, 100)
+
+
+@pytest.mark.parametrize("num, den", [(80, 100), (85, 100), (1, 2), (1, 1)])
+def test_forest_links_all_that_brute_force_links(num, den):
+    r = np.random.default_rng(5)
+    for sides in (1, 2):
+        sets = []
+        for _ in range(12):
+            base = r.integers(0, 10**6, r.integers(1, 60))
+            sets += [np.unique(np.where(r.random(len(base)) < r.choice([0, 0.02, 0.1]), r.integers(0, 10**6, len(base)), base)) for _ in range(5)]
+        size, side = np.array([len(x) for x in sets]), r.integers(0, sides, len(sets))
+        other = side == 1 if sides == 2 else side == 0
+        label = np.arange(len(sets))
+        found = near_dup.forest(np.concatenate(sets), size, label, side == 0, other, num, den)
+        linked = lambda i, j: den * len(np.intersect1d(sets[i], sets[j])) >= num * len(np.union1d(sets[i], sets[j]))
+        pairs = [(i, j) for i in np.flatnonzero(side == 0) for j in np.flatnonzero(other) if i != j and linked(i, j)]
+        nodes = range(len(sets))
+        assert all(linked(i, j) for i, j in found) and roots(nodes, pairs) == roots(nodes, found)
+        assert len(set(label.tolist())) == len(set(roots(nodes, pairs).values()))
+
+
+def test_bitmaps_follow_the_number_of_ids():
+    assert near_dup.bitmap_bits(0) == 1024 and near_dup.bitmap_bits(1000) == 1 << 14
+    assert [near_dup.bitmap_bits(n) // n for n in (1 << 12, 1 << 20, 1 << 24)] == [16, 16, 16] and near_dup.bitmap_bits(1 << 40) == near_dup.MOST_BITS
+
+
 def test_keep_one(spark, odd_docs):
     kept = near_dup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
