@@ -61,7 +61,7 @@ FROM d
 
 def op2_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, docs))
+    ratio = secret_scan.learn(docs)
     return secret_scan.digest(secret_scan.scan(docs, ratio))
 
 

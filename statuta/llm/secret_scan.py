@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import limit_batches, map_columns, ship, strings
+from ._io import map_batches, map_columns, slices, strings
 
 # The base patterns and the least length of what they must find.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,19 +35,24 @@ LEAST = 16  # of a run that the models judge: the least length that they are tra
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 MIN_RATIO = 2.5
 RANDOM_STRINGS = 6000
+TOKENS_AT_ONCE = 50_000  # that a worker counts together
+WORDS_AT_ONCE = 100_000  # distinct ones that a worker holds before it hands them on
 _N = len(ALPHABET) + 1  # the last class: anything else, and the ends
 _CLASS = np.full(256, _N - 1, dtype=np.int64)
 _CLASS[[ord(c) for c in ALPHABET]] = np.arange(_N - 1)
 
 
-def trigram_counts(tokens: Iterable[str]) -> np.ndarray:
-    """Counts of (two characters, next character) over ASCII tokens, each with two ends before and one after it."""
+def trigram_counts(tokens: list[str], times: list[int] | None = None) -> np.ndarray:
+    """Counts of (two characters, next character) over ASCII tokens, each with two ends before and one after it, ``times`` over."""
     joined = "".join(f"\x00\x00{t}\x00" for t in tokens).encode("ascii", "replace")
-    c = _CLASS[np.frombuffer(joined, np.uint8)]
-    if len(c) < 3:
+    if not joined:
         return np.zeros(_N**3, np.int64)
-    end = (c[:-2] != _N - 1) & (c[1:-1] == _N - 1)  # windows that run from one token into the next
-    return np.bincount(((c[:-2] * _N + c[1:-1]) * _N + c[2:])[~end], minlength=_N**3)
+    c = _CLASS[np.frombuffer(joined, np.uint8)]
+    size = np.array([len(t) + 3 for t in tokens])
+    inside, stop = np.ones(len(c), dtype=bool), np.cumsum(size)
+    inside[stop - 1] = inside[stop - 2] = False  # other windows run from one token into the next
+    weight = np.repeat(np.ones(len(tokens)) if times is None else times, size)[:-2][inside[:-2]]
+    return np.bincount(((c[:-2] * _N + c[1:-1]) * _N + c[2:])[inside[:-2]], weight, _N**3).astype(np.int64)
 
 
 def log_model(counts: np.ndarray, k: float = 0.05) -> np.ndarray:
@@ -93,53 +99,106 @@ def _order(span: tuple[int, int, str]) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
-def train(samples: DataFrame, token_col: str = "token", label_col: str = "label") -> np.ndarray:
+def train(samples: DataFrame, token_col: str = "token", label_col: str = "label", times_col: str | None = None) -> np.ndarray:
     """Table of log-likelihood ratios of (two characters, next), from labelled tokens; counted on the executors.
 
-    Tokens that are null or hold other characters are cut to runs of the alphabet; label 1 is random, 0 ordinary,
-    anything else is left out.
+    Tokens that hold other characters are cut to runs of the alphabet; label 1 is random, 0 ordinary.  Rows with any other
+    label or a null token, label or times count nothing; repeated rows count each time.  Without rows both models are
+    uniform and all ratios 0.  Other columns are not read.
     """
     piece = re.compile(r"[A-Za-z0-9+/_=-]+")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {0: np.zeros(_N**3, np.int64), 1: np.zeros(_N**3, np.int64)}
-        for batch in batches:
-            labels = batch.column(1).to_pylist()
-            for label in total:
-                total[label] += trigram_counts(p for t, x in zip(strings(batch.column(0)), labels, strict=True) if x == label for p in piece.findall(t))
-        for label, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(c[at])], ["label", "cell", "n"])
-
-    rows = map_columns(samples.withColumn(label_col, F.col(label_col).cast("long")), [token_col, label_col], kernel, "label long, cell long, n long")
-    table = rows.groupBy("label", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most two rows for each of 68**3 cells
+        held: dict[int, list[tuple[str, int]]] = {0: [], 1: []}
+        for part in (p for b in batches for p in slices(b, 0, 50_000, 1 << 20)):
+            for t, x, n in zip(strings(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                if x in total and n:
+                    held[x] += [(p, n) for p in piece.findall(t)]
+            for label, found in held.items():
+                if len(found) > TOKENS_AT_ONCE:
+                    total[label] += trigram_counts([p for p, _ in found], [n for _, n in found])
+                    found.clear()
+        for label, found in held.items():
+            total[label] += trigram_counts([p for p, _ in found], [n for _, n in found])
+        yield from (_cells(label, c) for label, c in total.items())
+
+    times = F.lit(1) if times_col is None else F.col(times_col)
+    rows = samples.select(F.col(token_col).alias("token"), F.col(label_col).cast("long").alias("label"), times.cast("long").alias("times"))
+    counts = _summed(map_columns(rows, ["token", "label", "times"], kernel, "label long, cell long, n long"))
+    return (log_model(counts[1]) - log_model(counts[0])).astype(np.float32)
+
+
+def _cells(label: int, counts: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label)), pa.array(at), pa.array(counts[at])], ["label", "cell", "n"])
+
+
+def _summed(cells: DataFrame) -> np.ndarray:
+    """Counts of both labels, from the cells of all tasks."""
+    table = cells.groupBy("label", "cell").agg(F.sum("n").alias("n")).toArrow()  # at most two rows for each of 68**3 cells
     counts = np.zeros((2, _N**3))
     counts[table.column("label").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    return (log_model(counts[1]) - log_model(counts[0])).astype(np.float32)
+    return counts
+
+
+def learn(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """What :func:`train` makes of :func:`labelled_samples`, counted where the texts are read: no token leaves its task."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_N**3, np.int64)
+        for tokens, times in _ordinary(batches):
+            total += trigram_counts(tokens, times)
+        yield _cells(0, total)
+
+    counts = _summed(map_columns(docs, [text_col], kernel, "label long, cell long, n long"))
+    return (log_model(trigram_counts(random_strings())) - log_model(counts[0])).astype(np.float32)
+
+
+_WORD = re.compile(r"[A-Za-z][a-z]*(?:[_-][A-Za-z]+)*")
+
+
+def _ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[int]]]:
+    """Tokens and how often they stand: words of a task's texts, and identifiers made of them, a quarter as many by times."""
+
+    def counted(held: Counter) -> tuple[list[str], list[int]]:
+        words: Counter = Counter()
+        for token, n in held.items():
+            bare = token.strip(".,;:!?\"'()")
+            if _WORD.fullmatch(bare):
+                words[bare] += n
+        names = sorted(words)
+        made = identifiers(names, max(1, len(names) // 4))
+        each = max(1, round(words.total() / 4 / max(1, len(made))))
+        return [*names, *made], [words[w] for w in names] + [each] * len(made)
+
+    held: Counter = Counter()
+    for part in (p for b in batches for p in slices(b, 0)):
+        for text in strings(part.column(0)):
+            done = 0
+            for a, b, _ in sorted(base_spans(text)):
+                held.update(text[done:a].split())
+                done = max(done, b)
+            held.update((text[done:] if done else text).split())
+        if len(held) > WORDS_AT_ONCE:
+            yield counted(held)
+            held.clear()
+    yield counted(held)
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(token, label): random strings, and words of all documents with identifiers made of them.
+    """(token, label, times): random strings, and words of all documents with identifiers made of them.
 
-    The models have 68**3 cells whatever the corpus.  Tokens inside base spans and tokens with a digit are not taken for
-    ordinary ones.
+    Words are counted by each task, ``WORDS_AT_ONCE`` distinct ones at a time, over whole texts and all rows; the models have
+    68**3 cells whatever the corpus.  Tokens inside base spans and tokens with a digit are not taken for ordinary ones.  Null
+    and empty texts give nothing, repeated rows count each time, an empty table gives random strings alone.
     """
-    ship(spark)
-    texts = docs.select(F.col(text_col).alias("text"))
-    word = re.compile(r"[A-Za-z][a-z]*(?:[_-][A-Za-z]+)*")
-
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in strings(batch.column(0)):
-                for a, b, _ in base_spans(text):
-                    text = text[:a] + " " * (b - a) + text[b:]
-                words = [w for w in re.findall(r"[^\s]+", text) if word.fullmatch(w.strip(".,;:!?\"'()"))]
-                words = [w.strip(".,;:!?\"'()") for w in words]
-                made = words + identifiers(words, len(words) // 4)
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(np.zeros(len(made), np.int64))], ["token", "label"])
+        for tokens, times in _ordinary(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(np.zeros(len(tokens), np.int64)), pa.array(times, pa.int64())], ["token", "label", "times"])
 
-    drawn = spark.createDataFrame([(t, 1) for t in random_strings()], "token string, label long")
-    return texts.mapInArrow(kernel, "token string, label long").union(drawn)
+    drawn = spark.createDataFrame([(t, 1, 1) for t in random_strings()], "token string, label long, times long")
+    return map_columns(docs, [text_col], kernel, "token string, label long, times long").union(drawn)
 
 
 def model_spans(run: str, ratio: np.ndarray, min_ratio: float = MIN_RATIO) -> list[tuple[int, int]]:
@@ -210,9 +269,9 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in all_spans(t, shared.value, min_ratio)] for t in strings(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["id", "secrets"])
+        for part in (p for b in batches for p in slices(b, 1)):
+            rows = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, b, k in all_spans(t, shared.value, min_ratio)] for t in strings(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], ["id", "secrets"])
 
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, secrets array<struct<kind:string,start:long,end:long,value:string>>"
     return map_columns(docs, [id_col, text_col], kernel, schema).withColumnRenamed("id", id_col)
@@ -230,21 +289,19 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def mask(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", min_ratio: float = MIN_RATIO, word: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret of ``text_col`` replaced by ``word``; overlapping spans become one.  Other columns stay."""
-    ship(docs.sparkSession)
-    limit_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
+        for part in (p for b in batches for p in slices(b, at)):
+            texts = part.column(at).to_pylist()
             for i, t in enumerate(texts):
                 if t:
                     texts[i] = masked(t, all_spans(t, shared.value, min_ratio), word)
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            columns = list(part.columns)
+            columns[at] = pa.array(texts, part.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.mapInArrow(kernel, docs.schema)
+    return map_batches(docs, kernel, docs.schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]], word: str) -> str:

@@ -67,6 +67,21 @@ def test_langid(real, odd_docs, no_docs):
     assert langid.identify(no_docs, model).count() == 0
 
 
+def test_signs_that_are_no_letters_have_no_language(spark, real):
+    model = langid.fit(real)
+    texts = ["½ ²", "Ⅷ", "①", "²", "_ 7 ٣", "ª", "漢", "é", "½ a"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(5)) and all(got[i][0] != "und" for i in range(5, 9))
+
+
+def test_too_many_languages_are_refused_before_counting(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_CELLS", 3 << langid.BUCKET_BITS)
+    docs = spark.range(4).select(F.lit("a text").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError):
+        langid.fit(docs)
+    assert langid.fit(docs.where("lang < 3")).languages == ["0", "1", "2"]
+
+
 def test_langid_scores_match_one_by_one(real):
     model = langid.fit(real)
     texts = [r["text"].lower() for r in real.limit(40).collect()] + ["", "a", "é" * (langid.SLICE + 50)]
@@ -112,6 +127,41 @@ def test_quality_scores_are_sparse_dot_products():
         assert abs(s - 1 / (1 + np.exp(-float((w[where].astype(float) * x).sum())))) < 1e-9
 
 
+def test_ftrl_is_that_of_plain_loops():
+    """The update rule once more, one coordinate at a time with dictionaries."""
+    draw = np.random.default_rng(8)
+    vectors = [(np.append(np.sort(draw.choice(50, draw.integers(0, 6), replace=False)), 1 << quality.BUCKET_BITS), None) for _ in range(60)]
+    vectors = [(at, np.append(draw.random(len(at) - 1), 1.0)) for at, _ in vectors]
+    labels = draw.integers(0, 2, 60).tolist()
+    alpha, beta, l1, l2 = 0.3, 0.7, 0.05, 0.2
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(3):
+        for (at, x), y in zip(vectors, labels, strict=True):
+            pairs = list(zip(at.tolist(), x.tolist(), strict=True))
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in pairs)))
+            old = {i: weight(i) for i, _ in pairs}
+            for i, v in pairs:
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha * old[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.ftrl(vectors, labels, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(got[[*z]], [weight(i) for i in z], atol=1e-6) and np.count_nonzero(got) == sum(weight(i) != 0 for i in z)
+
+
+def test_repeated_ids_add_no_examples(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad bad words"), (2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    many = docs.union(docs).union(docs.where("doc_id = 1"))
+    assert np.array_equal(quality.fit(docs, labels), quality.fit(many, labels))
+    assert not np.array_equal(quality.fit(docs, labels), quality.fit(docs.where("text is not null"), labels))  # of two texts the least, here the empty one
+
+
 def brute_base(text):
     """The base patterns as stated, match by match."""
     text = text or ""
@@ -128,7 +178,7 @@ TRICKY = [
 
 
 def test_secrets(spark, odd_docs, real, no_docs):
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    ratio = secret_scan.learn(real)
     docs = real.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(TRICKY, 10_000)), "doc_id long, text string"))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = secret_scan.digest(secret_scan.scan(docs, ratio)).collect()
@@ -143,7 +193,7 @@ def test_secrets(spark, odd_docs, real, no_docs):
 
 
 def test_markov_finds_keys_and_leaves_words(spark, real):
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    ratio = secret_scan.learn(real)
     key, word = "key: ghp_16C7e42F292c6912E7710c838347Ae178B4a.", "internationalization_of_the_world 2020-01-01 getElementsByTagNameAndClass " + "-" * 40
     assert [s[2] for s in secret_scan.all_spans(key, ratio)] == ["markov"]
     assert secret_scan.all_spans(word, ratio) == []
@@ -154,7 +204,7 @@ def test_markov_finds_keys_and_leaves_words(spark, real):
 
 
 def test_markov_finds_the_shortest_keys_it_is_trained_on(spark, real):
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    ratio = secret_scan.learn(real)
     drawn = [t[:n] for n in (16, 17, 18, 19) for t in secret_scan.random_strings(500, seed=98 + n)]
     assert np.mean([bool(secret_scan.all_spans(t, ratio)) for t in drawn]) > 0.95
     assert np.mean([bool(secret_scan.all_spans(t, ratio)) for t in secret_scan.random_strings(2000, seed=99)]) > 0.95
@@ -162,14 +212,71 @@ def test_markov_finds_the_shortest_keys_it_is_trained_on(spark, real):
 
 def test_ordinary_words_are_counted_over_all_documents(spark):
     docs = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("ordinary words").alias("text"))
-    assert secret_scan.labelled_samples(spark, docs).where("label = 0 and token = 'ordinary'").count() >= 1200
+    assert secret_scan.labelled_samples(spark, docs).where("label = 0 and token = 'ordinary'").agg(F.sum("times")).first()[0] == 1200
+
+
+def test_samples_are_whole_whatever_a_worker_holds(spark, real, monkeypatch):
+    whole = secret_scan.labelled_samples(spark, real).where("label = 0").groupBy("token").agg(F.sum("times").alias("n"))
+    texts = [r["text"] or "" for r in real.collect()]
+    wanted = {}
+    for t in texts:
+        for a, b, _ in secret_scan.base_spans(t):
+            t = t[:a] + " " * (b - a) + t[b:]
+        for w in t.split():
+            w = w.strip(".,;:!?\"'()")
+            if re.fullmatch(r"[A-Za-z][a-z]*(?:[_-][A-Za-z]+)*", w):
+                wanted[w] = wanted.get(w, 0) + 1
+    got = {r["token"]: r["n"] for r in whole.collect()}
+    assert all(got[w] >= n for w, n in wanted.items()) and sum(wanted.values()) <= sum(got[w] for w in wanted) <= 1.3 * sum(wanted.values())
+
+
+def test_learning_in_place_is_training_on_the_samples(spark, real, odd_docs, no_docs):
+    for docs in (real, odd_docs, no_docs):
+        assert np.allclose(secret_scan.learn(docs), secret_scan.train(secret_scan.labelled_samples(spark, docs), times_col="times"), atol=1e-6)
+
+
+def test_weighted_trigrams_are_repeated_ones():
+    tokens, times = ["abc", "a", "", "A-b_9", "abc"], [3, 2, 4, 1, 2]
+    assert (secret_scan.trigram_counts(tokens, times) == secret_scan.trigram_counts([t for t, n in zip(tokens, times, strict=True) for _ in range(n)])).all()
+
+
+def test_ratio_is_that_of_a_plain_character_loop(spark):
+    """Both models once more, one character at a time with dictionaries."""
+    rows = [("secretword", 0), ("the", 0), ("the", 0), ("a-b", 0), ("Xq7Zp2Lx", 1), ("9f8e7d6c", 1), (None, 1), ("x", None), ("y", 2), ("two words", 0)]
+    ratio = secret_scan.train(spark.createDataFrame(rows, "token string, label long"))
+    signs = secret_scan.ALPHABET + "\0"
+
+    def probability(label, a, b, c):
+        tri, two, bi, one = 0, 0, 0, 0
+        for token, x in rows:
+            for t in re.findall(r"[A-Za-z0-9+/_=-]+", token or "") if x == label else []:
+                padded = "\0\0" + t + "\0"
+                for u, v, w in zip(padded, padded[1:], padded[2:], strict=False):
+                    tri, two = tri + ((u, v, w) == (a, b, c)), two + ((u, v) == (a, b))
+                    bi, one = bi + ((v, w) == (b, c)), one + (v == b)
+        p_bi = (bi + 2 / len(signs)) / (one + 2)
+        return (tri + 0.05 * len(signs) * p_bi) / (two + 0.05 * len(signs))
+
+    for a, b, c in ("\0\0t", "\0th", "the", "he\0", "q7Z", "9f8", "zzz", "d6c", "a-b"):
+        i = (signs.index(a) * len(signs) + signs.index(b)) * len(signs) + signs.index(c)
+        assert abs(ratio[i] - np.log(probability(1, a, b, c) / probability(0, a, b, c))) < 1e-5
+
+
+def test_held_out_precision_and_recall(spark, real):
+    """Keys drawn with another seed, and words of documents that the models were not trained on."""
+    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real.where("doc_id % 2 = 0")), times_col="times")
+    keys = secret_scan.random_strings(1000, seed=77)
+    words = sorted({w for r in real.where("doc_id % 2 = 1").collect() for w in re.findall(r"[A-Za-z]+", r["text"] or "")})
+    plain = [x for x in secret_scan.identifiers(words, 4000, seed=78) if len(x) >= secret_scan.LEAST][:1000]
+    caught, wrong = sum(bool(secret_scan.all_spans(k, ratio)) for k in keys), sum(bool(secret_scan.all_spans(x, ratio)) for x in plain)
+    assert caught / len(keys) > 0.97 and caught / (caught + wrong) > 0.97
 
 
 KEY = "q7Zp2LxV9sKd4TfW8mYb3RcH6nGjU1eA5oXiQ0tB"
 
 
 def test_markov_finds_keys_joined_to_words_and_base_spans(spark, real):
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    ratio = secret_scan.learn(real)
     for before in ("/the/and/ation/of/", "aws_session_credential=", "the_nation_credential_for_the_station="):
         drawn = [t[:n] for n in (20, 24, 36) for t in secret_scan.random_strings(1600, seed=n)[5::8] if len(t) >= n]
         found = [secret_scan.all_spans(f"in {before}{t}/{before} x", ratio) for t in drawn]
@@ -195,7 +302,7 @@ def test_model_spans_are_windows_by_brute_force():
 
 
 def test_mask(spark, odd_docs, real):
-    ratio = secret_scan.train(secret_scan.labelled_samples(spark, real))
+    ratio = secret_scan.learn(real)
     docs = spark.createDataFrame([(1, 'a token = "48fd8e940a86f41832370bc4dd81bc9d95bf72b0" b'), (2, None), (3, "clean text")], "doc_id long, text string")
     assert [r["text"] for r in secret_scan.mask(docs, ratio).orderBy("doc_id").collect()] == ['a [SECRET]" b', None, "clean text"]
     assert secret_scan.mask(odd_docs, ratio).columns == odd_docs.columns
@@ -203,4 +310,4 @@ def test_mask(spark, odd_docs, real):
 
 def test_training_without_rows(spark, no_docs):
     assert np.isfinite(secret_scan.train(spark.createDataFrame([], "token string, label long"))).all()
-    assert np.isfinite(secret_scan.train(secret_scan.labelled_samples(spark, no_docs))).all()
+    assert np.isfinite(secret_scan.train(secret_scan.labelled_samples(spark, no_docs), times_col="times")).all()
