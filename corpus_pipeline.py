@@ -29,7 +29,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = secret_scan.mask(docs, secret_scan.train(secret_scan.labelled_samples(spark, docs)))
+    clean = secret_scan.mask(docs, secret_scan.learn(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
