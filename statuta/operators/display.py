@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEPARATOR = " · "
-# Words that name a document near a number, the suffix of a country, and the joints of an enumeration.
+# Words that name a document near a number, the suffix of a country, and the joints of an enumeration at its end.
 DOCUMENT_NEAR = (
     r"(?iu:кодекс|закон|фз|конституц|положени|правил|приказ|постановлени|договор|контракт|регламент|устав|инструкци|соглашени|коап)|(?<![А-Яа-яЁё])[А-ЯЁ]{2,5}(?![А-Яа-яЁё])"
 )
