@@ -6,6 +6,8 @@ the original.  All run inside whole-stage code generation or as higher-order fun
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,23 +47,36 @@ def chain_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?U)({CHAIN_TOKEN}|\s+)"), F.lit(1))
 
 
+BLOCK_PIECES = 64
+
+
+def running_ends(pieces: Column) -> Column:
+    """Array of the running sums of lengths.
+
+    Sums are carried over blocks of pieces, and within a block each is a sum of what stands before it in the block: the work
+    grows with the number of pieces times the size of a block and not with its square.
+    """
+    sizes = F.transform(pieces, F.length)
+    count = F.ceil(F.size(sizes) / BLOCK_PIECES).cast("int")
+    blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(sizes, b * BLOCK_PIECES + 1, F.lit(BLOCK_PIECES)))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    totals = F.transform(blocks, total)
+    before = F.transform(totals, lambda _, i: total(F.slice(totals, F.lit(1), i)))
+    inside = lambda block, b: F.transform(block, lambda _, i: F.get(before, b) + total(F.slice(block, F.lit(1), i + 1)))
+    return F.flatten(F.transform(blocks, inside))
+
+
 def chain_tokens(text: Column) -> Column:
     """Array of struct(text, start, end): chain tokens with code point offsets."""
     pieces = chain_pieces(text)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
-
-    def step(state: Column, piece: Column) -> Column:
-        end = state["at"] + F.length(piece)
-        token = F.array(F.struct(piece.alias("text"), state["at"].alias("start"), end.alias("end")))
-        blank = piece.rlike(r"(?U)^\s+$")
-        return F.struct(end.alias("at"), F.when(blank, state["out"]).otherwise(F.concat(state["out"], token)).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda s: s["out"])
+    ends = running_ends(pieces)
+    placed = F.transform(F.arrays_zip(pieces.alias("text"), ends.alias("end")), lambda p: F.struct(p["text"].alias("text"), (p["end"] - F.length(p["text"])).alias("start"), p["end"].alias("end")))
+    return F.filter(placed, lambda t: ~t["text"].rlike(r"(?U)^\s+$"))
 
 
 def drop_repeated_dots(tokens: Column) -> Column:
-    """Of dots in a row only the first token stays."""
-    return F.filter(tokens, lambda t, i: ~((t == ".") & (i > 0) & (F.get(tokens, i - 1) == ".")))
+    """Of dots in a row only the first token stays; tokens are those of :func:`chain_tokens`."""
+    return F.filter(tokens, lambda t, i: ~((t["text"] == ".") & (i > 0) & (F.get(tokens, i - 1)["text"] == ".")))
 
 
 def name_tokens(text: Column) -> Column:
@@ -97,13 +112,28 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(tidy, lambda x: x != ""), "\n")
 
 
-def html_text(page: Column, start_mark: str | None = None) -> Column:
-    """Plain text of a page: scripts, styles, comments and tags out, breaks kept, the common entities resolved."""
+def unescape(text: Column) -> Column:
+    """Named and numeric character references resolved in one pass; what is no reference stays as it is."""
+    named = F.create_map(*[F.lit(x) for name, code in sorted(html.entities.name2codepoint.items()) for x in (f"&{name};", chr(code))])
+    sign = lambda hex_: F.decode(F.unhex(F.lpad(hex_, 8, "0")), "UTF-32")
+
+    def resolved(piece: Column) -> Column:
+        hexadecimal, decimal = F.regexp_extract(piece, "^&#[xX](0*(?:10|[0-9A-Fa-f])?[0-9A-Fa-f]{1,4});$", 1), F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
+        number = F.when(hexadecimal != "", hexadecimal).when(decimal != "", F.conv(decimal, 10, 16))
+        fits = number.isNotNull() & (F.conv(number, 16, 10).cast("int") <= 0x10FFFF) & ~F.conv(number, 16, 10).cast("int").between(0xD800, 0xDFFF)
+        return F.when(piece.startswith("&"), F.coalesce(F.try_element_at(named, piece), F.when(fits, sign(number)), piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit("(&#?[0-9A-Za-z]{1,31};|[^&]+|&)"), F.lit(1))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, resolved), "")).otherwise(text)
+
+
+def html_text(page: Column, start_mark: str | None = None, end_mark: str | None = None) -> Column:
+    """Plain text of a page, or of what stands between two marks of it: scripts, styles, comments and tags out, breaks kept, references resolved."""
     body = page if start_mark is None else F.when(F.instr(page, start_mark) > 0, F.substring_index(page, start_mark, -1)).otherwise("")
+    body = body if end_mark is None else F.substring_index(body, end_mark, 1)
     for pattern, by in ((r"(?is)<(script|style)\b.*?</\1\s*>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|li|tr)\s*>", "\n"), (r"(?s)<[^>]+>", "")):
         body = F.regexp_replace(body, pattern, by)
-    for name, char in (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        body = F.replace(body, F.lit(name), F.lit(char))
+    body = F.translate(unescape(body), "\u00a0", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
 
 
@@ -132,11 +162,31 @@ def context_window(text: Column, start: Column, end: Column, chars: int = 150) -
     return F.struct(before.alias("before"), F.substring(text, F.lit(1) + start, end - start).alias("fragment"), after.alias("after"))
 
 
+def _fragment_pattern(fragment: Column) -> Column:
+    """Words of a fragment as they are, any white space between them; null without words."""
+    words = F.filter(F.split(fragment, r"(?U)\s+"), lambda w: w != "")
+    quoted = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.when(F.size(words) > 0, F.concat(F.lit("(?U)"), F.array_join(F.transform(words, quoted), "\\s+")))
+
+
+def find_fragments(text: Column, fragment: Column) -> Column:
+    """Array of struct(start, end): all places of a fragment that do not overlap, in order; empty if there is none."""
+    pattern = F.coalesce(_fragment_pattern(fragment), F.lit("(?!)"))
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    seed = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.length(pair["gap"])
+        end = start + F.length(pair["hit"])
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+    pairs = F.transform(found, lambda hit, i: F.struct(hit.alias("hit"), F.get(between, i).alias("gap")))
+    return F.aggregate(pairs, seed, step, lambda s: s["out"])
+
+
 def find_fragment(text: Column, fragment: Column) -> Column:
     """struct(start, end) of the first place of a fragment, any white space for its white space; null if there is none."""
-    words = F.filter(F.split(fragment, r"(?U)\s+"), lambda w: w != "")
-    pattern = F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "\\s+")
-    safe = F.when(F.size(words) > 0, F.concat(F.lit("(?U)"), pattern))
+    safe = _fragment_pattern(fragment)
     found = F.regexp_substr(text, safe)
     at = F.instr(text, found) - 1
     return F.when(found.isNotNull(), F.struct(at.alias("start"), (at + F.length(found)).alias("end")))

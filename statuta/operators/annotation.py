@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statuta.functions import text
@@ -54,6 +54,22 @@ def outcomes(links: DataFrame, saved: DataFrame) -> DataFrame:
     return per.select("doc_id", outcome.alias("outcome"), "n_annotators")
 
 
+def gold(links: DataFrame, saved: DataFrame) -> DataFrame:
+    """Links of each document that is settled: the adjudicator's, or those on which all annotators agree; with the outcome.
+
+    A settled document without links gives no row; documents in conflict are those whose outcome says so.
+    """
+    judged = outcomes(links, saved).where("outcome <> 'conflict'")
+    speaker = saved.groupBy("doc_id").agg(F.coalesce(F.max(F.when(F.col("annotator") == ADJUDICATOR, ADJUDICATOR)), F.min("annotator")).alias("annotator"))
+    return links.join(speaker, ["doc_id", "annotator"], "left_semi").join(judged.select("doc_id", "outcome"), "doc_id")
+
+
+def save_problem(rows: Column, no_links: Column) -> Column:
+    """Why a record can't be saved: rows and the mark that there are none exclude each other, and one of them is needed; null if it can."""
+    some, none = F.coalesce(F.size(rows), F.lit(0)) > 0, F.coalesce(no_links, F.lit(False))
+    return F.when(some & none, "rows and no links").when(~some & ~none, "neither rows nor no links")
+
+
 def merged_rows(links: DataFrame, by: list[str]) -> DataFrame:
     """Links of one span and law as one row of comma lists where they are a full product of their values, else a row each.
 

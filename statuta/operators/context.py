@@ -45,9 +45,9 @@ def prefixes(tokens: DataFrame, array_col: str, most: int = 20) -> DataFrame:
 
 
 def shortest_exact(found: DataFrame, index: DataFrame, by: list[str], key: str = "prefix") -> DataFrame:
-    """Of prefixes that equal an index key the shortest of each group, with the index row's columns."""
+    """Of prefixes that equal an index key the shortest of each group, a row for each index row that has the key."""
     w = Window.partitionBy(*by).orderBy("k")
-    return found.join(index, found[key] == index["alias_key"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return found.join(index, found[key] == index["alias_key"]).withColumn("_n", F.rank().over(w)).where("_n = 1").drop("_n")
 
 
 def tag_counts(tagged: DataFrame, by: str, order: str) -> DataFrame:

@@ -12,6 +12,8 @@ DOCUMENT_NEAR = (
 )
 COUNTRY_TAIL = r"(?U)^(\s+(?:РФ|России|Российской\s+Федерации))(?![А-Яа-яЁё])"
 ENUMERATION_TAIL = r"(?iuU)((?:[\s,;]|\s(?:и|а также|также|так и|так и по|и по)(?=\s))+)$"
+#: An address in a tag, in either quotes or bare.
+HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 #: Answers of the second question by item kind, as (code, label).
 CHOICES = {
     "verify": (("no_law", "другой закон"), ("no_article", "другая статья"), ("no_part", "другая часть или пункт"), ("no_ref", "это не ссылка")),
@@ -89,13 +91,13 @@ def parameters(spec: Column) -> Column:
     """struct(name, options) of "name?k=v&k=v"."""
     has = F.instr(spec, "?") > 0
     empty = F.create_map().cast("map<string,string>")
-    options = F.when(has, F.expr("str_to_map(substring_index(_spec, '?', -1), '&', '=')")).otherwise(empty)
+    options = F.when(has, F.str_to_map(F.substring_index(spec, "?", -1), F.lit("&"), F.lit("="))).otherwise(empty)
     return F.struct(F.substring_index(spec, "?", 1).alias("name"), options.alias("options"))
 
 
 def page_links(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """(href, page): each linked address with the least page that names it first seen."""
-    found = pages.select(F.col(id_col).alias("page"), F.explode(F.regexp_extract_all(html_col, F.lit(r'href="([^"]+)"'), F.lit(1))).alias("href"))
+    found = pages.select(F.col(id_col).alias("page"), F.explode(F.filter(F.transform(F.regexp_extract_all(html_col, F.lit(HREF), F.lit(0)), lambda m: F.regexp_extract(m, HREF, 1)), lambda h: h != "")).alias("href"))
     return found.groupBy("href").agg(F.min("page").alias("page"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # Answers that mean no, and the screen's limits.
 NO_ANSWERS = ("no", "no_law", "no_article", "no_part", "no_numbers", "no_ref", "other_doc")
 MIN_CONTROLS, MIN_ACCURACY, Z = 3, 0.75, 1.96
+CONTROL_EVERY = 8
 
 
 def first_votes(raw: DataFrame) -> DataFrame:
@@ -108,6 +109,35 @@ def leaderboard(votes: DataFrame, top: int = 10) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("answers"), F.lower(F.col("voter").cast("string")))))
 
 
+def place_of(votes: DataFrame, voter: object) -> DataFrame:
+    """rank, voter, answers of one voter among all, in the leaderboard's order: a count of those before, not a sort of all."""
+    name = F.lower(F.col("voter").cast("string"))
+    counts = votes.groupBy("voter").agg(F.count("*").alias("answers"))
+    own = counts.where(F.col("voter") == voter).select(F.col("answers").alias("own"), name.alias("own_name"), F.col("voter").alias("who"))
+    before = (F.col("answers") > F.col("own")) | ((F.col("answers") == F.col("own")) & (name < F.col("own_name")))
+    placed = counts.join(F.broadcast(own))  # one row, or none for a voter without answers
+    return placed.groupBy("who", "own").agg((F.count_if(before) + 1).cast("int").alias("rank")).select("rank", F.col("who").alias("voter"), F.col("own").alias("answers"))
+
+
+def answered(votes: DataFrame) -> DataFrame:
+    """(voter, item_id): what each voter has answered, a row each: a set of a voter's items is never one value."""
+    return votes.select("voter", "item_id").distinct()
+
+
+def next_item(items: DataFrame, votes: DataFrame, voter: object, every: int = CONTROL_EVERY, enough: int = 2) -> DataFrame:
+    """The item that a voter is asked next: of those not answered yet the first in the queue's order, at every ``every``-th answer a control.
+
+    Where no control is left, or nothing but controls, what is left comes.
+    """
+    own = votes.where(F.col("voter") == voter)
+    asked = items.join(own.select("item_id").distinct(), "item_id", "left_anti")
+    counts = votes.groupBy("item_id").agg(F.count("*").alias("n"))
+    turn = own.agg((F.count("*") % every == every - 1).alias("turn"))
+    open_ = asked.join(counts, "item_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).join(F.broadcast(turn))
+    order = [((F.col("kind") == "control") != F.col("turn")), F.col("n") >= enough, F.desc("version"), "n", F.md5(F.col("item_id").cast("string")), "item_id"]
+    return open_.orderBy(*order).limit(1).select("item_id", "kind", "version", "n")
+
+
 def queue(items: DataFrame, votes: DataFrame, enough: int = 2) -> DataFrame:
     """Order in which items are asked within a kind: items short of votes first, newest version, fewest votes, seeded tie-break."""
     counts = votes.groupBy("item_id").agg(F.count("*").alias("n"))

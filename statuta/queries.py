@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from statuta.functions import citegen, laws, lexicon, noise, synthetic, text
 from statuta.operators import annotation, audit, context, corpus, display, evaluation, similarity, survey
 from statuta.plans import extract as plan
+from statuta.plans import pack
 from statuta.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,26 +60,38 @@ def links_per_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.extract(_orders_text(spark, sf_dir)).groupBy("law_id").agg(F.count("*").alias("n_links"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query(f"SELECT doc_id, law_id, article, point_article, subpoint_article, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(article AS INT), point_article) - 1 AS INT) AS place FROM ({_EXPECTED}) WHERE (doc_id // 8) % 8 IN (0, 2, 4, 5)")
-def links_in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1: links keep the text's order (of texts with one chain)."""
-    docs = _orders_text(spark, sf_dir).where("pmod(floor(doc_id / 8), 8) in (0, 2, 4, 5)")
-    links = plan.extract(docs).orderBy("doc_id", "chain_ord", "link_ord")
-    return links.select("doc_id", "law_id", "article", "point_article", "subpoint_article", (F.col("chain_ord") + F.col("link_ord")).cast("int").alias("place"))
-
-
 @query(f"SELECT doc_id, law_id, article, point_article, subpoint_article, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CAST(article AS INT), point_article) - 1 AS INT) AS place FROM ({_EXPECTED})")
-def links_in_text_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links_in_text_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O1: links of every text keep its order; the generator's articles of a text ascend."""
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chain_ord", "link_ord")) - 1
     links = plan.extract(_orders_text(spark, sf_dir))
     return links.select("doc_id", "law_id", "article", "point_article", "subpoint_article", place.cast("int").alias("place"))
 
 
-@query("SELECT doc_id, CAST(NULL AS INT) AS law_id, CAST(NULL AS VARCHAR) AS article FROM documents WHERE regexp_matches(text, '[А-Яа-яЁё]') AND false")
+@query(citegen.EXPECTED_SQL.format(key="doc_id", table="documents"))
 def extract_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without Cyrillic letters are pruned before any Python; the driver's documents hold no citation."""
-    return plan.extract(_docs(spark, sf_dir)).select("doc_id", "law_id", "article")
+    """Whole documents, each with a citation after its text; texts without Cyrillic letters never reach Python."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", citegen.citation_text(F.col("doc_id"))).alias("text"))
+    return plan.extract(docs).select("doc_id", "law_id", "article", "point_article", "subpoint_article")
+
+
+@query(_EXPECTED)
+def extract_with_many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links with a dictionary of 18,724 more names."""
+    names = lexicon.SEED_LAWS | citegen.generated_laws(18_724)
+    return plan.extract(_orders_text(spark, sf_dir), names).select("doc_id", "law_id", "article", "point_article", "subpoint_article")
+
+
+@query(
+    f"""WITH e AS ({_EXPECTED}), v AS (SELECT o_orderkey AS doc_id, (o_orderkey // 8) % 8 AS v, o_orderkey % 8 IN (5, 7) AS act FROM orders),
+k AS (SELECT doc_id, CASE v WHEN 3 THEN 2 WHEN 6 THEN 1 + act::INT WHEN 7 THEN 0 ELSE 1 END AS verify, CASE v WHEN 6 THEN 1 - act::INT WHEN 7 THEN 1 ELSE 0 END AS missed FROM v)
+SELECT doc_id, 'verify' AS kind, CAST(verify AS BIGINT) AS n FROM k WHERE verify > 0 UNION ALL SELECT doc_id, 'control', CAST(verify AS BIGINT) FROM k WHERE verify > 0
+UNION ALL SELECT doc_id, 'missed', CAST(missed AS BIGINT) FROM k WHERE missed > 0"""
+)
+def survey_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F7, J5, P21-P24, section 2.13: items of all kinds from texts; tests hold their contents against brute force."""
+    index = laws.LawIndex(lexicon.extend(lexicon.SEED_LAWS))
+    return pack.items(_orders_text(spark, sf_dir), index).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT 'clean' AS family, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0 AS f1 FROM ({_EXPECTED})")
@@ -174,10 +187,15 @@ def chain_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.size(tokens).cast("long").alias("n_tokens"))
 
 
-@query(r"SELECT item_id, CAST(i - 1 AS INT) AS pos, ts[i] AS token FROM (SELECT item_id, regexp_extract_all(text, '\d+(?:\.\d+)*(?:\s*-\s*\d+(?:\.\d+)*)?|[А-Яа-яЁёA-Za-z]+|[^\s]') AS ts FROM benchmark) t, unnest(range(1, len(ts) + 1)) AS u(i)")
+@query(
+    r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '\d+(?:\.\d+)*(?:\s*-\s*\d+(?:\.\d+)*)?|[А-Яа-яЁёA-Za-z]+|[^\s]') AS ts FROM (SELECT item_id, text || ' .. end...' AS text FROM benchmark)),
+f AS (SELECT item_id, list_filter(ts, lambda x, i: NOT (x = '.' AND i > 1 AND ts[greatest(i - 1, 1)] = '.')) AS ts FROM t)
+SELECT item_id, CAST(i - 1 AS INT) AS pos, ts[i] AS token FROM f, unnest(range(1, len(ts) + 1)) AS u(i)"""
+)
 def chain_tokens_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with offsets; each token is the text at its span."""
-    t = _read(spark, sf_dir, "benchmark").select("item_id", "text", F.posexplode(text.chain_tokens(F.col("text"))).alias("pos", "t"))
+    b = _read(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" .. end...")).alias("text"))
+    t = b.select("item_id", "text", F.posexplode(text.drop_repeated_dots(text.chain_tokens(F.col("text")))).alias("pos", "t"))
     return t.select("item_id", "pos", F.expr("substring(text, t.start + 1, t.end - t.start)").alias("token"))
 
 
@@ -188,11 +206,11 @@ def value_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", token.alias("token"), text.value_text(token).alias("value"))
 
 
-@query("SELECT conv_id, turn, w AS word, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)[0-9a-zа-я]+(?:[-.][0-9a-zа-я]+)*')) AS w FROM conversations) GROUP BY ALL")
+@query("SELECT conv_id, turn, w AS word, length(w) <= 5 AND w = upper(w) AND w <> lower(w) AS short, count(*) AS n FROM (SELECT conv_id, turn, unnest(regexp_extract_all(text, '(?i)[0-9a-zа-я]+(?:[-.][0-9a-zа-я]+)*')) AS w FROM conversations) GROUP BY ALL")
 def name_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a name."""
-    words = F.regexp_extract_all("text", F.lit(f"(?i)({text.NAME_TOKEN})"), F.lit(1))
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(words).alias("word")).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
+    """Words of a name, and whether they are short abbreviations."""
+    words = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.name_tokens(F.col("text"))).alias("word"))
+    return words.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n")).withColumn("short", text.is_short_abbreviation(F.col("word")))
 
 
 @query(r"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(replace(replace(text, chr(13), ''), chr(173), ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\x{00a0}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS clean FROM documents")
@@ -226,29 +244,42 @@ def split_value_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", F.explode(text.split_values(raw)).alias("value"))
 
 
-@query("SELECT item_id, CAST(strpos(text, substr(text, 11, 20)) - 1 AS INT) AS start, CAST(strpos(text, substr(text, 11, 20)) + length(substr(text, 11, 20)) - 1 AS INT) AS end FROM benchmark WHERE text NOT LIKE '%' || chr(10) || '%' AND substr(text, 11, 20) = trim(substr(text, 11, 20))")
+_FRAGMENT = r"regexp_replace(substr(text, 11, 20), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"WITH b AS (SELECT item_id, text, {_FRAGMENT} AS f FROM benchmark) SELECT item_id, CAST(strpos(text, f) - 1 AS INT) AS start, CAST(strpos(text, f) + length(f) - 1 AS INT) AS end FROM b WHERE f <> ''")
 def fragment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments found whatever their white space."""
-    b = _read(spark, sf_dir, "benchmark").where(~F.col("text").contains("\n")).withColumn("f", F.substring("text", 11, 20)).where("f = trim(f)")
+    """The first place of a fragment, whatever its white space."""
+    b = _read(spark, sf_dir, "benchmark").withColumn("f", F.regexp_replace(F.substring("text", 11, 20), r"^\s+|\s+$", "")).where("f <> ''")
     at = text.find_fragment(F.col("text"), F.replace("f", F.lit(" "), F.lit("  ")))
     return b.select("item_id", at["start"].alias("start"), at["end"].alias("end"))
 
 
-@query("SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN 'no law' END AS problem_law, CASE WHEN doc_id % 3 = 0 THEN 'no number' END AS problem_number FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, 'of\\s+the')) AS BIGINT) AS n, CAST(CASE WHEN regexp_matches(text, 'of\\s+the') THEN strpos(text, regexp_extract(text, 'of\\s+the')) - 1 END AS INT) AS first FROM documents")
+def all_fragment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of a fragment in whole texts."""
+    places = text.find_fragments(F.col("text"), F.lit("of the"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(places).cast("long").alias("n"), F.get(places, 0)["start"].alias("first"))
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 7 = 0 THEN 'no fragment' END, CASE WHEN doc_id % 7 = 1 THEN 'fragment not in text' END, CASE WHEN doc_id % 5 = 0 THEN 'no law' END,
+ CASE WHEN doc_id % 3 = 0 THEN 'no number' END], lambda x: x IS NOT NULL), ',') AS problems FROM documents"""
+)
 def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P20."""
+    """P20: each of the four problems."""
     d = F.col("doc_id")
-    row = F.struct(F.lit("a").alias("fragment"), F.when(d % 5 != 0, 15).alias("law_id"), F.lit(" ").alias("law_name"), F.when(d % 3 != 0, "1").alias("article"), F.lit("").alias("point"), F.lit(None).cast("string").alias("subpoint"))
-    p = text.row_problems(F.concat(F.lit("a "), F.col("text")), row)
-    has = lambda x: F.when(F.array_contains(p, x), F.lit(x))
-    return _docs(spark, sf_dir).select("doc_id", "source", has("no law").alias("problem_law"), has("no number").alias("problem_number"))
+    fragment = F.when(d % 7 == 0, " ").when(d % 7 == 1, "no such words \\E here").otherwise("a b\\E")
+    row = F.struct(fragment.alias("fragment"), F.when(d % 5 != 0, 15).alias("law_id"), F.lit(" ").alias("law_name"), F.when(d % 3 != 0, "1").alias("article"), F.lit("").alias("point"), F.lit(None).cast("string").alias("subpoint"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(text.row_problems(F.concat(F.lit("a  b\\E "), F.col("text")), row), ",").alias("problems"))
 
 
-@query("SELECT doc_id, substr(text, 51, 20) AS fragment FROM documents WHERE length(text) >= 300")
+@query()
 def context_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window's fragment is the span itself."""
-    w = text.context_window(F.col("text"), F.lit(50), F.lit(70), 40)
-    return _docs(spark, sf_dir).where("length(text) >= 300").select("doc_id", w["fragment"].alias("fragment"))
+    """The words before and after a span, in texts of any length; a test holds it against brute force."""
+    size = F.length("text")
+    w = text.context_window(F.col("text"), F.least(F.lit(50), size), F.least(F.lit(70), size), 40)
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", w["before"].alias("before"), w["fragment"].alias("fragment"), w["after"].alias("after"))
 
 
 @query("SELECT p_partkey, p_brand, p_name IN ('') OR length(p_name) BETWEEN 2 AND 40 AS valid FROM part")
@@ -342,24 +373,57 @@ def survey_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _EVENTS
-    + """, c AS (SELECT i.item_id, i.kind, i.version, count(v.vote_id) AS n FROM items i LEFT JOIN votes v ON i.item_id = v.item_id AND v.answer <> 'yes' AND v.vote_id % 7 = 0 GROUP BY ALL)
+    + """, c AS (SELECT i.item_id, i.kind, i.version, count(v.vote_id) AS n FROM items i LEFT JOIN votes v ON i.item_id = v.item_id GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n >= 2, version DESC, n, md5(CAST(item_id AS VARCHAR)), item_id) AS INT) AS place FROM c"""
 )
 def survey_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of the next items within a kind."""
+    """Order of the next items within a kind, by all votes."""
     votes, items = _votes(spark, sf_dir)
-    return survey.queue(items, votes.where("answer <> 'yes' and vote_id % 7 = 0"))
+    return survey.queue(items, votes)
+
+
+@query(_EVENTS + "SELECT rank, voter, answers FROM (SELECT voter, count(*) AS answers, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST(voter AS VARCHAR)) AS INT) AS rank FROM votes GROUP BY voter) WHERE voter = 7")
+def survey_own_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One voter's place among all."""
+    return survey.place_of(_votes(spark, sf_dir)[0], 7)
+
+
+@query(_EVENTS + "SELECT DISTINCT voter, item_id FROM votes")
+def survey_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each voter has answered."""
+    return survey.answered(_votes(spark, sf_dir)[0])
 
 
 @query(
     _EVENTS
     + """, c AS (SELECT i.item_id, i.kind, i.version, count(v.vote_id) AS n FROM items i LEFT JOIN votes v ON i.item_id = v.item_id GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY n >= 2, version DESC, n, md5(CAST(item_id AS VARCHAR)), item_id) AS INT) AS place FROM c"""
+SELECT * FROM c WHERE item_id NOT IN (SELECT item_id FROM votes WHERE voter = 7) ORDER BY (kind = 'control') <> ((SELECT count(*) FROM votes WHERE voter = 7) % 8 = 7), n >= 2, version DESC, n, md5(CAST(item_id AS VARCHAR)), item_id LIMIT 1"""
 )
-def survey_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order of the next items within a kind, by all votes."""
+def survey_next_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature is one item: what a voter is asked next, every eighth time a control."""
     votes, items = _votes(spark, sf_dir)
-    return survey.queue(items, votes)
+    return survey.next_item(items, votes, 7)
+
+
+@query("SELECT o_orderkey, kind, unnest(CASE kind WHEN 'verify' THEN ['no_law', 'no_article', 'no_part', 'no_ref'] WHEN 'missed' THEN ['no_ref', 'other_doc'] ELSE CAST([] AS VARCHAR[]) END) AS answer FROM (SELECT o_orderkey, ['verify', 'missed', 'control'][o_orderkey % 3 + 1] AS kind FROM orders)")
+def answer_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the second question."""
+    kind = F.element_at(F.array(F.lit("verify"), F.lit("missed"), F.lit("control")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), F.explode(display.answer_choices(kind)).alias("answer"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN CAST(p_partkey AS INT) END AS law FROM part")
+def law_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: a law's choice string and back; what doesn't start with a number is no choice."""
+    value = F.when(F.col("p_partkey") % 4 != 0, display.choice(F.col("p_partkey"), F.col("p_name"))).otherwise(F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", display.chosen_law(value).alias("law"))
+
+
+@query("SELECT p_partkey, ['пп.', 'п.', 'ч.', 'ст.'][p_partkey % 4 + 1] AS label FROM part")
+def marker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of a marker word."""
+    marker = F.element_at(F.array(F.lit("Подпункту"), F.lit("пунктах"), F.lit("ч"), F.lit("статья")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select("p_partkey", display.marker_label(marker).alias("label"))
 
 
 @query(_EVENTS + "SELECT item_id, count(*) AS n_votes, count(DISTINCT voter) AS n_voters FROM votes GROUP BY item_id")
@@ -422,6 +486,28 @@ def annotation_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.outcomes(annotation.expand_rows(saved, ["annotator", "doc_id"]), saved)
 
 
+@query(
+    _SAVED_SQL
+    + """, j AS (SELECT doc_id, CASE WHEN annotator = 'ann3' AND doc_id % 5 = 0 THEN 'adjudicator' ELSE annotator END AS annotator, law_id, article FROM sav),
+o AS (SELECT doc_id, CASE WHEN bool_or(annotator = 'adjudicator') THEN 'adjudicated' WHEN count(DISTINCT law_id || ':' || article) = 1 THEN 'unanimous' END AS outcome,
+ CASE WHEN bool_or(annotator = 'adjudicator') THEN 'adjudicator' ELSE min(annotator) END AS annotator FROM j GROUP BY doc_id)
+SELECT j.doc_id, j.law_id, j.article, o.outcome FROM j JOIN o USING (doc_id, annotator) WHERE o.outcome IS NOT NULL"""
+)
+def annotation_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of settled documents, by an adjudicator or by agreement."""
+    judge = (F.col("annotator") == "ann3") & (F.col("doc_id") % 5 == 0)
+    saved = _saves(spark, sf_dir).withColumn("annotator", F.when(judge, annotation.ADJUDICATOR).otherwise(F.col("annotator")))
+    return annotation.gold(annotation.expand_rows(saved, ["annotator", "doc_id"]), saved).select("doc_id", "law_id", "article", "outcome")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 'rows and no links' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'neither rows nor no links' END AS problem FROM orders")
+def annotation_save_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and the mark that there are none exclude each other."""
+    k = F.col("o_orderkey")
+    rows = F.when(k % 2 == 1, F.array(k)).when(k % 4 == 0, F.array().cast("array<bigint>"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", annotation.save_problem(rows, F.when(k % 3 == 0, True)).alias("problem"))
+
+
 @query(
     """WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 AS law_id, CAST(l_linenumber AS VARCHAR) AS article, l_linenumber AS o FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
 SELECT doc_id, law_id, array_to_string(list(article ORDER BY o), ', ') AS article, '' AS point_article, '' AS subpoint_article FROM l GROUP BY doc_id, law_id"""
@@ -516,6 +602,18 @@ def name_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.prefixes(b, "ws").select("item_id", "k", "prefix")
 
 
+@query(
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[^\s]+') AS ws FROM benchmark), a AS (SELECT item_id AS law_id, array_to_string(ws[1:CAST(item_id % 4 + 2 AS INT)], ' ') AS key FROM w),
+p AS (SELECT item_id, CAST(k AS INT) AS k, array_to_string(ws[1:k], ' ') AS prefix FROM w, unnest(range(1, least(len(ws), 20) + 1)) AS u(k)), f AS (SELECT p.item_id, p.k, a.law_id FROM p JOIN a ON p.prefix = a.key)
+SELECT item_id, k, law_id FROM f QUALIFY k = min(k) OVER (PARTITION BY item_id)"""
+)
+def shortest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest prefix that is a name, with all laws of that name."""
+    b = _read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([^\s]+)"), F.lit(1)).alias("ws"))
+    names = b.select(F.col("item_id").alias("law_id"), F.array_join(F.slice("ws", F.lit(1), (F.col("item_id") % 4 + 2).cast("int")), " ").alias("alias_key"))
+    return context.shortest_exact(context.prefixes(b, "ws"), names, ["item_id"]).select("item_id", "k", "law_id")
+
+
 _TRI = """WITH t AS (SELECT l_linestatus || l_returnflag AS tag, coalesce(lag(l_linestatus || l_returnflag, 2) OVER w, '^') AS before2, coalesce(lag(l_linestatus || l_returnflag) OVER w, '^') AS before1
  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)), c AS (SELECT before2, before1, tag, count(*) AS n FROM t GROUP BY ALL)
 """
@@ -558,27 +656,8 @@ def gram_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(similarity.inverse_frequency(counts, b), "gram").select("gram", "df", F.round("idf", 6).alias("idf"))
 
 
-@query(
-    f"""WITH src AS (SELECT item_id AS id, substr(text, 1, 120) AS key FROM benchmark), {_GRAMS}, idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM src)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY gram),
-raw AS (SELECT id, gram, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (gram)), x AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
-qsrc AS (SELECT item_id AS id, substr(text, 1, 100) AS key FROM benchmark),
-qg AS (SELECT id, substr(p, i, n) AS gram FROM (SELECT id, ' ' || w || ' ' AS p FROM (SELECT id, unnest(regexp_extract_all(lower(key), '[^\\s]+')) AS w FROM qsrc)) y, unnest(range(3, 6)) AS a(n), unnest(range(1, greatest(2, length(p) - n + 2))) AS b(i) WHERE n = 3 OR n <= length(p)),
-qraw AS (SELECT id, gram, (1 + ln(count(*))) * any_value(idf) AS w FROM qg JOIN idf USING (gram) GROUP BY id, gram), q AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM qraw),
-s AS (SELECT q.id AS query, x.id AS "match", sum(q.w * x.w) AS sim FROM q JOIN x USING (gram) GROUP BY q.id, x.id), t AS (SELECT *, max(sim) OVER (PARTITION BY query) AS top FROM s)
-SELECT query, "match", round(sim, 6) AS similarity FROM t WHERE sim >= top - 1e-9 AND top >= 0.85 - 1e-9"""
-)
-def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best matches by cosine of n-gram weights, all within 1e-9 of the best."""
-    b = _read(spark, sf_dir, "benchmark")
-    names, asked = b.select("item_id", F.substring("text", 1, 120).alias("key")), b.select("item_id", F.substring("text", 1, 100).alias("key"))
-    counts = similarity.term_counts(names, "item_id", "key")
-    idf = similarity.inverse_frequency(counts, names)
-    out = similarity.best_matches(similarity.weights(similarity.term_counts(asked, "item_id", "key"), idf), similarity.weights(counts, idf), 0.85)
-    return out.withColumn("similarity", F.round("similarity", 6))
-
-
 @query()
-def similar_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2, J3, A5, F2 over whole texts; a test holds it against brute force."""
     return similarity.similar_keys(_read(spark, sf_dir, "benchmark"), "item_id", "text", 0.85).withColumn("similarity", F.round("similarity", 6))
 
@@ -598,16 +677,8 @@ def audit_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_ids(_read(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT n_name, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)), ',') AS laws FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY n_name")
-def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Laws of each checklist name."""
-    checklist = _read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("key"))
-    index = _read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("law_id"))
-    return audit.coverage(checklist, index).select("n_name", "laws")
-
-
 @query("SELECT n_name, array_to_string(list_sort(list(DISTINCT CAST(s_suppkey AS VARCHAR)) FILTER (s_suppkey IS NOT NULL)), ',') AS laws FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
-def audit_coverage_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def audit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laws of each checklist name, over all rows."""
     checklist = _read(spark, sf_dir, "nation").select("n_name", F.col("n_nationkey").alias("key"))
     index = _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("law_id"))
@@ -624,10 +695,33 @@ def audit_format_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.faults(_read(spark, sf_dir, "part").select("p_partkey", name.alias("name"))).select("p_partkey", "fault")
 
 
-@query(f"SELECT CAST({sum(len(v) for v in lexicon.extend(lexicon.SEED_LAWS).values())} AS BIGINT) AS names, CAST({len(lexicon.SEED_LAWS)} AS BIGINT) AS laws")
+@query("SELECT count(*) AS laws, CAST(sum(n) AS BIGINT) AS names, count(*) FILTER (n = 0) AS without_names FROM (SELECT p_size, count(DISTINCT p_name) FILTER (p_partkey % 17 = p_size % 17) AS n FROM part GROUP BY p_size)")
 def dictionary_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extended seed dictionary as a table."""
-    return audit.totals(tables.dictionary(spark, lexicon.extend(lexicon.SEED_LAWS)))
+    """Laws, names, and laws without a name."""
+    listed = F.collect_set(F.when(F.col("p_partkey") % 17 == F.col("p_size") % 17, F.col("p_name")))
+    return audit.totals(_read(spark, sf_dir, "part").groupBy("p_size").agg(listed.alias("names")))
+
+
+@query("SELECT p_size AS law_id, p_name AS name FROM part WHERE contains(lower(p_name), 'a') ORDER BY p_size, p_name LIMIT 8")
+def audit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: the feature is a list of eight names that hold a string."""
+    return audit.search(_read(spark, sf_dir, "part").select(F.col("p_size").alias("law_id"), F.col("p_name").alias("name")), "A")
+
+
+@query("SELECT 'о договор ' || chr(1072 + CAST(k AS INT)) AS \"key\", CAST(2 AS BIGINT) AS n_laws, CAST(2 AS BIGINT) AS n_names FROM (SELECT DISTINCT p_size % 20 AS k FROM part)")
+def audit_stem_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of other laws that differ by endings alone."""
+    k = (F.col("p_size") % 20).cast("int")
+    letter = F.substring(F.lit("абвгдежзийклмнопрсту"), k + 1, F.lit(1))
+    names = _read(spark, sf_dir, "part").select(F.explode(F.array(F.struct(F.concat(F.lit("О договоре "), letter).alias("name"), k.alias("law_id")), F.struct(F.concat(F.lit("о договорах "), letter).alias("name"), (k + 100).alias("law_id")))).alias("n"))
+    return audit.stem_conflicts(names.select("n.*"))
+
+
+@query("SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) <= 2")
+def audit_generic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quoted names of two words at most."""
+    name = F.concat(F.lit("Закон «"), F.regexp_replace("p_name", r"[^\\w ]", ""), F.lit("»"))
+    return _read(spark, sf_dir, "part").where(text.generic_quoted(name)).select("p_partkey")
 
 
 @query(
@@ -652,11 +746,12 @@ def anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", corpus.anonymize(raw).alias("masked"))
 
 
-@query(r"SELECT doc_id, s AS sentence FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n')) AS s FROM documents) WHERE length(s) BETWEEN 5 AND 400 AND NOT regexp_matches(s, '[.!?]\s+\p{Lu}')")
+@query(
+    r"""SELECT doc_id, sentence FROM (SELECT doc_id, trim(unnest(string_split(replace(regexp_replace(text, '([.!?])\s+(\p{Lu})', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1)), chr(1)))) AS sentence FROM documents) WHERE length(sentence) BETWEEN 5 AND 400"""
+)
 def plain_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences fit for training texts (of lines that are one sentence)."""
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("s")).where(~F.col("s").rlike(r"[.!?]\s+\p{Lu}"))
-    return corpus.plain_sentences(lines, "doc_id", "s")
+    """Sentences of whole texts that are fit for training."""
+    return corpus.plain_sentences(_docs(spark, sf_dir), "doc_id", "text")
 
 
 @query()
@@ -671,24 +766,13 @@ def _control_items(l: DataFrame) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", F.col("law_id").cast("long").alias("law_id"), "article", "expected")
 
 
-@query(
-    """WITH n AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS law_id, CAST(l_partkey AS VARCHAR) AS article, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem WHERE l_orderkey < 1000),
-m AS (SELECT *, CASE law_id WHEN 5 THEN 13 WHEN 13 THEN 5 WHEN 15 THEN 10 WHEN 10 THEN 15 WHEN 17 THEN 12 WHEN 12 THEN 17 WHEN 0 THEN 6 WHEN 6 THEN 0 WHEN 7 THEN 8 WHEN 8 THEN 7 END AS swap FROM n)
-SELECT l_orderkey, l_linenumber, CAST(CASE WHEN k % 4 = 1 AND swap IS NOT NULL THEN swap ELSE law_id END AS BIGINT) AS law_id,
- CASE WHEN k % 2 = 1 AND NOT (k % 4 = 1 AND swap IS NOT NULL) THEN CAST(CAST(article AS BIGINT) + [1, 2, 3, 7, 10][k % 5 + 1] AS VARCHAR) ELSE article END AS article, CASE WHEN k % 2 = 1 THEN 'no' ELSE 'yes' END AS expected FROM m"""
-)
-def control_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section 2.13: corrupted control items, over the items of one pack."""
-    return _control_items(_read(spark, sf_dir, "lineitem").where("l_orderkey < 1000"))
-
-
 @query(
     """WITH n AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS law_id, CAST(l_partkey AS VARCHAR) AS article, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k FROM lineitem),
 m AS (SELECT *, CASE law_id WHEN 5 THEN 13 WHEN 13 THEN 5 WHEN 15 THEN 10 WHEN 10 THEN 15 WHEN 17 THEN 12 WHEN 12 THEN 17 WHEN 0 THEN 6 WHEN 6 THEN 0 WHEN 7 THEN 8 WHEN 8 THEN 7 END AS swap FROM n)
 SELECT l_orderkey, l_linenumber, CAST(CASE WHEN k % 4 = 1 AND swap IS NOT NULL THEN swap ELSE law_id END AS BIGINT) AS law_id,
  CASE WHEN k % 2 = 1 AND NOT (k % 4 = 1 AND swap IS NOT NULL) THEN CAST(CAST(article AS BIGINT) + [1, 2, 3, 7, 10][k % 5 + 1] AS VARCHAR) ELSE article END AS article, CASE WHEN k % 2 = 1 THEN 'no' ELSE 'yes' END AS expected FROM m"""
 )
-def control_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def control_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section 2.13: corrupted control items, over all rows."""
     return _control_items(_read(spark, sf_dir, "lineitem"))
 
@@ -733,11 +817,11 @@ def voter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_brand AS name, CAST(p_size AS VARCHAR) AS k FROM part")
 def variant_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5."""
-    spec = _read(spark, sf_dir, "part").withColumn("_spec", F.concat("p_brand", F.lit("?k="), "p_size", F.lit("&z=1")))
-    return spec.withColumn("p", display.parameters(F.col("_spec"))).select("p_partkey", "p.name", F.col("p.options")["k"].alias("k"))
+    spec = F.concat("p_brand", F.lit("?k="), "p_size", F.lit("&z=1"))
+    return _read(spark, sf_dir, "part").withColumn("p", display.parameters(spec)).select("p_partkey", "p.name", F.col("p.options")["k"].alias("k"))
 
 
-@query("SELECT h AS href, min(page_id) AS page FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS h FROM pages) GROUP BY h")
+@query(r"""SELECT h AS href, min(page_id) AS page FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)) AS h FROM pages) GROUP BY h""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses in pages, each once."""
     return display.page_links(_read(spark, sf_dir, "pages"), "page_id", "html")

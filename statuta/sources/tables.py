@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINK = "struct<law_id:int,article:string,point_article:string,subpoint_article:string>"
@@ -49,11 +49,16 @@ def read_gold(spark: SparkSession, path: str, texts: str | None = None) -> DataF
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a folder of JSON-lines files with their path and line order; broken lines are left out."""
+    """Rows of a folder of JSON-lines files and the folders in it, with their path and their order in it (line, a struct); broken lines are left out."""
     raw = spark.read.option("recursiveFileLookup", True).text(path)
-    kept = raw.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    parsed = kept.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"})).where(F.trim("value") != "")
-    return parsed.select("r.*", "path", "line")
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    parsed = raw.select(F.from_json("value", f"{schema}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("r"), F.col("_metadata.file_path").alias("path"), line.alias("line"))
+    return parsed.where("r is not null and r._broken is null").select("r.*", "path", "line").drop("_broken")
+
+
+def batch_of(path: Column) -> Column:
+    """struct(batch, annotator) of a label file's path: .../<batch>/<annotator>.jsonl."""
+    return F.struct(F.regexp_extract(path, r"([^/]+)/[^/]+\.jsonl$", 1).alias("batch"), F.regexp_extract(path, r"([^/]+)\.jsonl$", 1).alias("annotator"))
 
 
 def last_by(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -67,16 +72,44 @@ def repeated_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def merged_packs(*packs: DataFrame, key: str = "item_id") -> DataFrame:
+    """All packs as one table; refused if they share an id."""
+    out = packs[0]
+    for p in packs[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    shared = repeated_ids(out, key).orderBy(key).first()
+    if shared:
+        raise ValueError(f"{key} {shared[key]} is in several packs")
+    return out
+
+
 def append_lines(df: DataFrame, path: str) -> None:
+    """Votes, labels or metrics added to a log; each write adds files, so writers don't wait for one another."""
     df.write.mode("append").json(path)
 
 
+def write_gold(cases: DataFrame, path: str) -> None:
+    """Gold cases as JSON lines; a null in a link is written, so that all links have all fields."""
+    cases.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def gold_cases(links: DataFrame, by: list[str]) -> DataFrame:
     """One row for each document with its links as an array in order: the shape of gold files."""
     entry = F.struct("chain_ord", "link_ord", F.struct("law_id", "article", "point_article", "subpoint_article").alias("l"))
     return links.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["l"]).alias("links"))
 
 
+def survey_report(analysis: DataFrame, errors: DataFrame) -> str:
+    """Report of a survey in Markdown: precision with its interval, link precision, relative recall, and what was wrong."""
+    a = analysis.first()
+    share = lambda x: "-" if x is None else f"{x:.3f}"
+    lines = [
+        f"Decided chains: {a['verify_decided']}, right: {a['verify_right']}", f"Precision: {share(a['precision'])} ({share(a['ci_low'])} to {share(a['ci_high'])})",
+        f"Link precision: {share(a['link_precision'])}", f"Missed: {a['missed_yes']} of {a['missed_decided']} ({a['missed_outside']} outside the dictionary)", f"Relative recall: {share(a['relative_recall'])}",
+    ]
+    return "\n\n".join(["# Survey", *lines, "## Errors", markdown_table(errors.orderBy(F.desc("n"), "decision"))])
+
+
 def markdown_table(df: DataFrame, most: int = 100) -> str:
     """A small result as a Markdown table; the report's feature is a limit of ``most`` rows."""
     rows = [[str(v) if v is not None else "-" for v in r] for r in df.limit(most).collect()]
