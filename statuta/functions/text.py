@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import html.entities
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Characters that normalisation replaces, and Latin letters that look like Cyrillic ones.
@@ -47,31 +47,28 @@ def chain_pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?U)({CHAIN_TOKEN}|\s+)"), F.lit(1))
 
 
-BLOCK_PIECES = 64
+def chain_tokens(text: Column) -> Column:
+    """Array of struct(text, start, end): chain tokens with code point offsets.  For texts of many thousand tokens take :func:`token_rows`."""
+    pieces = chain_pieces(text)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)").alias("out"))
 
+    def step(state: Column, piece: Column) -> Column:
+        end = state["at"] + F.length(piece)
+        token = F.array(F.struct(piece.alias("text"), state["at"].alias("start"), end.alias("end")))
+        blank = piece.rlike(r"(?U)^\s+$")
+        return F.struct(end.alias("at"), F.when(blank, state["out"]).otherwise(F.concat(state["out"], token)).alias("out"))
 
-def running_ends(pieces: Column) -> Column:
-    """Array of the running sums of lengths.
+    return F.aggregate(pieces, start, step, lambda s: s["out"])
 
-    Sums are carried over blocks of pieces, and within a block each is a sum of what stands before it in the block: the work
-    grows with the number of pieces times the size of a block and not with its square.
-    """
-    sizes = F.transform(pieces, F.length)
-    count = F.ceil(F.size(sizes) / BLOCK_PIECES).cast("int")
-    blocks = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), lambda b: F.slice(sizes, b * BLOCK_PIECES + 1, F.lit(BLOCK_PIECES)))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    totals = F.transform(blocks, total)
-    before = F.transform(totals, lambda _, i: total(F.slice(totals, F.lit(1), i)))
-    inside = lambda block, b: F.transform(block, lambda _, i: F.get(before, b) + total(F.slice(block, F.lit(1), i + 1)))
-    return F.flatten(F.transform(blocks, inside))
 
+def token_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, token, start, end): a row for each chain token, offsets as a running sum over the pieces of a text.
 
-def chain_tokens(text: Column) -> Column:
-    """Array of struct(text, start, end): chain tokens with code point offsets."""
-    pieces = chain_pieces(text)
-    ends = running_ends(pieces)
-    placed = F.transform(F.arrays_zip(pieces.alias("text"), ends.alias("end")), lambda p: F.struct(p["text"].alias("text"), (p["end"] - F.length(p["text"])).alias("start"), p["end"].alias("end")))
-    return F.filter(placed, lambda t: ~t["text"].rlike(r"(?U)^\s+$"))
+    The work grows with the number of tokens; ids must be distinct.  Null and empty texts give no rows.
+    """
+    rows = docs.select(F.col(id_col), F.posexplode(chain_pieces(F.col(text_col))).alias("pos", "token"))
+    end = F.sum(F.length("token")).over(Window.partitionBy(id_col).orderBy("pos")).cast("int")
+    return rows.withColumn("end", end).where(~F.col("token").rlike(r"(?U)^\s+$")).select(id_col, "token", (F.col("end") - F.length("token")).alias("start"), "end")
 
 
 def drop_repeated_dots(tokens: Column) -> Column:

@@ -1,12 +1,16 @@
+import html
 import json
 import math
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from statuta.functions import lexicon, noise, tagging, text
+from statuta.functions import laws, lexicon, noise, tagging, text
 from statuta.operators import annotation, context, corpus, evaluation, similarity, survey
 from statuta.plans import extract as plan
+from statuta.plans import pack
 from statuta.sources import tables
 from statuta.streaming import votes as stream
 
@@ -82,8 +86,8 @@ def test_outside(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "laws.json").write_text(json.dumps({"15": ["НК РФ", "НК"], "13": ["УК РФ"]}, ensure_ascii=False), "utf-8")
-    laws = tables.collect_dictionary(tables.read_dictionary(spark, str(tmp_path / "laws.json")))
-    assert sorted(laws[15]) == ["НК", "НК РФ"]
+    found = tables.collect_dictionary(tables.read_dictionary(spark, str(tmp_path / "laws.json")))
+    assert sorted(found[15]) == ["НК", "НК РФ"]
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "x.txt").write_text("ст. 5 УК РФ", "utf-8")
     case = {"id": "x", "text_file": "t/x.txt", "notes": [], "links": [{"law_id": 13, "article": "5", "point_article": None, "subpoint_article": None}]}
@@ -165,3 +169,118 @@ def test_drawn_noise(spark):
         assert all("".join(c for c in t if c.isdigit()) == "152128" for t in texts)
     assert all(noise.noisy(raw, 1, f, 0, 0.0) == raw for f in noise.FAMILIES if f != "case")
     assert all(len(noise.noisy(raw, i, "typos", 0).split()) == len(raw.split()) for i in range(40))
+
+
+def test_references_are_resolved_as_the_library_does(spark):
+    raw = ["a &amp;lt; b &lt;&gt;", "&nbsp;&mdash;&laquo;x&raquo;&hellip;", "&#1071;&#x42F;&#39;&#128512;", "&nosuch; & &; &#; &amp", "no reference", "&#xD800; &#99999999;", None, "&eacute;&Eacute;"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raw], "t string").coalesce(1).select(text.unescape(F.col("t"))).collect()]
+    for r, g in zip(raw, got, strict=True):
+        if r and "D800" not in r and "nosuch" not in r:
+            assert g == html.unescape(r)
+    assert got[3] == raw[3] and got[5] == raw[5] and got[6] is None
+
+
+def test_pages_and_footers(spark):
+    page = "x<body>START<p>a&nbsp; b</p><script>no</script><!-- no -->c<br/>d END tail"
+    row = spark.createDataFrame([(page, "Решение\nтекст\nСуд: Тверской районный\nтекст", "нет")], "p string, t string, u string").select(
+        text.html_text(F.col("p"), "START", "END"), text.strip_footer(F.col("t")), text.strip_footer(F.col("u"))
+    )
+    assert tuple(row.first()) == ("a b\nc\nd", "Решение\nтекст", "нет")
+
+
+def test_all_places_of_a_fragment(spark):
+    rows = [("a b a  b\na b", "a b"), ("aaa", "aa"), ("x", "y"), ("x", " "), ("x\\Ey x\\Ey", "x\\Ey"), (None, "x"), ("x", None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, f string").coalesce(1).select(text.find_fragments(F.col("t"), F.col("f"))).collect()]
+    assert [[tuple(p) for p in r] if r is not None else None for r in got] == [[(0, 3), (4, 8), (9, 12)], [(0, 2)], [], [], [(0, 4), (5, 9)], None, []]
+
+
+def test_token_offsets(spark):
+    wanted = lambda r: [(m[0], m.start(), m.end()) for m in re.finditer(text.CHAIN_TOKEN, r)]
+    raw = ["ст. 5, п. 1-2 " * 20, "", " ", None, "a"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raw], "t string").coalesce(1).select(text.chain_tokens(F.col("t"))).collect()]
+    assert [None if g is None else [tuple(t) for t in g] for g in got] == [None if r is None else wanted(r) for r in raw]
+    long = [*raw, "ст. 5, п. 1-2 " * 2000]
+    rows = text.token_rows(spark.createDataFrame(list(enumerate(long)), "i int, t string"), "i", "t").orderBy("i", "start").collect()
+    assert [(r["i"], r["token"], r["start"], r["end"]) for r in rows] == [(i, *t) for i, x in enumerate(long) for t in wanted(x or "")]
+
+
+def test_pack_contents(spark):
+    rows = [
+        (1, "Суд применил ч. 2 ст. 5 УК РФ и отказал."), (2, "Срок по п. 3 ст. 8 Положения о комиссии истек."), (3, "Иванов И.И. (часть 4) явился."), (4, None), (5, ""), (6, "На основании ст. 7 ГК РФ и ст. 9 ТК РФ решено."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("clash"))
+    got = {r["item_id"]: r for r in pack.items(docs, laws.LawIndex(lexicon.extend(lexicon.SEED_LAWS))).collect()}
+    assert {k: r["kind"] for k, r in got.items()} == {"1-0": "verify", "1-0-c": "control", "2-0": "missed", "6-0": "verify", "6-0-c": "control", "6-1": "verify", "6-1-c": "control"}
+    assert got["1-0"]["fragment"] == "ч. 2 ст. 5 УК РФ" and got["1-0"]["claim"] == "п./ч. 2 ст. 5 — УК РФ" and got["1-0"]["before"] == "Суд применил " and got["1-0"]["markers"] == ["ч.", "ст."]
+    assert got["2-0"]["claim"] is None and got["2-0"]["after"].startswith(" Положения")
+    controls = [got[k] for k in ("1-0-c", "6-0-c", "6-1-c")]
+    assert [r["expected"] for r in controls] == ["yes", "no", "yes"] and controls[1]["claim"] != "ст. 7 — ГК РФ" and controls[2]["claim"] == "ст. 9 — ТК РФ"
+    assert pack.items(docs.limit(0), laws.LawIndex(lexicon.SEED_LAWS)).count() == 0
+    packs = spark.createDataFrame([("a", "control", "p1"), ("a", "control", "p2"), ("b", "verify", "p1"), ("c", "control", "p1")], "item_id string, kind string, pack string")
+    assert sorted((r["item_id"], r["pack"]) for r in pack.control_pool(packs).collect()) == [("a", "p2"), ("c", "p1")]
+
+
+def test_logs_end_to_end(spark, tmp_path):
+    folder = tmp_path / "votes" / "b"
+    folder.mkdir(parents=True)
+    vote = lambda i, answer, **more: json.dumps({"vote_id": f"v{i}", "item_id": "x", "answer": answer, "voter": "a"} | more)
+    (tmp_path / "votes" / "a.jsonl").write_text("\n".join([vote(1, "yes"), "{broken", "", vote(2, "no"), vote(1, "unsure")]))
+    (folder / "c.jsonl").write_text("\n".join([vote(2, "unsure"), vote(3, "yes")]))
+    log = tables.read_lines(spark, str(tmp_path / "votes"), tables.VOTE)
+    assert log.count() == 5
+    assert {r["vote_id"]: r["answer"] for r in survey.first_votes(log).collect()} == {"v1": "yes", "v2": "no", "v3": "yes"}
+    assert {r["vote_id"]: r["answer"] for r in tables.last_by(log, "vote_id", "path", "line").collect()} == {"v1": "unsure", "v2": "unsure", "v3": "yes"}
+    assert {tuple(r["b"]) for r in log.select(tables.batch_of(F.col("path")).alias("b")).collect()} == {("votes", "a"), ("b", "c")}
+    tables.append_lines(spark.createDataFrame([("v9", "x", "yes")], "vote_id string, item_id string, answer string"), str(tmp_path / "log"))
+    tables.append_lines(spark.createDataFrame([("v8", "x", "no")], "vote_id string, item_id string, answer string"), str(tmp_path / "log"))
+    assert sorted(r["vote_id"] for r in tables.read_lines(spark, str(tmp_path / "log"), tables.VOTE).collect()) == ["v8", "v9"]
+    one, two = (spark.createDataFrame(rows, "item_id string, kind string") for rows in ([("a", "verify")], [("b", "missed")]))
+    assert sorted(r["item_id"] for r in tables.merged_packs(one, two).collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        tables.merged_packs(one, two, one)
+
+
+def test_gold_is_written_and_read(spark, tmp_path):
+    links = spark.createDataFrame([("d", 0, 1, 13, "5", None, None), ("d", 0, 0, 13, "4", None, None), ("e", 0, 0, 15, None, "1", None)], "id string, chain_ord int, link_ord int, law_id int, article string, point_article string, subpoint_article string")
+    tables.write_gold(tables.gold_cases(links, ["id"]), str(tmp_path / "gold"))
+    got = {r["id"]: r["links"] for r in spark.read.json(str(tmp_path / "gold")).collect()}
+    assert [x["article"] for x in got["d"]] == ["4", "5"] and got["e"][0]["point_article"] == "1"
+    raw = "".join(f.read_text("utf-8") for f in (tmp_path / "gold").glob("*.json"))
+    assert '"subpoint_article":null' in raw
+
+
+def test_gold_of_adjudicated_unanimous_and_conflicting_documents(spark):
+    rows = [("a", 1, 13, "5"), ("b", 1, 13, "5"), ("a", 2, 13, "5"), ("b", 2, 15, "5"), ("a", 3, 13, "1"), ("b", 3, 13, "2"), ("adjudicator", 3, 13, "3")]
+    saved = spark.createDataFrame(rows, "annotator string, doc_id int, law_id int, article string")
+    links = saved.withColumn("point_article", F.lit(None).cast("string")).withColumn("subpoint_article", F.lit(None).cast("string"))
+    got = sorted((r["doc_id"], r["article"], r["outcome"]) for r in annotation.gold(links, saved).collect())
+    assert got == [(1, "5", "unanimous"), (3, "3", "adjudicated")]
+
+
+def test_reports(spark):
+    votes = spark.createDataFrame([], "vote_id string, voter string, item_id string, answer string, ms long, seq long")
+    items = spark.createDataFrame([], "item_id string, kind string, expected string, n_links int, after string")
+    assert "Precision: -" in tables.survey_report(survey.analyze(votes, items), survey.error_histogram(votes, items))
+
+
+def test_next_items(spark):
+    items = spark.createDataFrame([("a", "verify", 1), ("b", "verify", 2), ("c", "control", 1), ("d", "missed", 2)], "item_id string, kind string, version int")
+    votes = lambda n, *more: spark.createDataFrame([("x", f"z{i}") for i in range(n)] + list(more) + [("y", "b")], "voter string, item_id string")
+    ask = lambda v: survey.next_item(items, v, "x").first()["item_id"]
+    assert ask(votes(0)) == "d" and ask(votes(7)) == "c" and ask(votes(1, ("x", "d"))) == "b"
+    assert ask(votes(6, ("x", "c"))) == "d"  # no control is left
+    assert survey.next_item(items, votes(0, *[("x", i) for i in "abcd"]), "x").count() == 0
+    assert one(survey.place_of(votes(3), "y")) == [(2, "y", 1)] and one(survey.place_of(votes(3), "nobody")) == []
+
+
+def test_streamed_windows(spark, tmp_path):
+    folder = tmp_path / "votes"
+    folder.mkdir()
+    line = lambda i, minute: json.dumps({"vote_id": f"v{i}", "item_id": "x", "answer": "yes", "voter": "a", "time": f"2024-01-01T{minute // 60:02d}:{minute % 60:02d}:00Z"})
+    (folder / "a.json").write_text("\n".join([line(1, 1), line(2, 9), line(3, 12), line(1, 1)]))
+    q = stream.windowed(stream.read_votes(spark, str(folder))).writeStream.format("memory").queryName("vote_windows").outputMode("append").start()
+    q.processAllAvailable()
+    (folder / "b.json").write_text(line(4, 200))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((str(r["start"])[11:16], r["n"]) for r in spark.table("vote_windows").collect()) == [("00:00", 2), ("00:10", 1)]
