@@ -17,23 +17,48 @@ from statuta.llm._io import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter, under a model of the rows that are not held out.
+
+    Null, empty and letterless texts go; very long texts are read whole; repeated rows all stay or all go; an empty table stays
+    empty.  All columns are kept, whatever their names and nulls.
+    """
     return langid.keep_identified(docs, langid.fit(docs.where(~langid.held_out("doc_id"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of least id; rows with a null id stay, as do null and wordless texts.
+
+    Very long texts are compared whole; repeated rows of an id all stay or all go; an empty table stays empty.  All columns are
+    kept, whatever their names and nulls.
+    """
     return near_dup.keep_one(docs, words=5, threshold=(80, 100))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null, empty and wordless texts hold none, very long ones are searched whole.
+
+    Repeated rows all stay or all go; an empty table stays empty, and without items all rows stay.  All columns are kept, whatever
+    their names and nulls.
+    """
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with their secrets masked and n_chars, where there is one, of the new text; no row goes.
+
+    Null and empty texts stay as they are (n_chars null and 0); very long texts are searched whole; repeated rows get equal texts;
+    an empty table stays empty.  Other columns are kept, whatever their names and nulls.
+    """
     clean = secret_scan.mask(docs, secret_scan.learn(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, decoded) of each document: the last stage.
+
+    Null and empty texts have no ids and an empty text; very long texts are encoded whole; repeated rows give equal rows; an
+    empty table gives none.  Other columns are not read, so their names can't clash.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
