@@ -284,3 +284,9 @@ def test_streamed_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((str(r["start"])[11:16], r["n"]) for r in spark.table("vote_windows").collect()) == [("00:00", 2), ("00:10", 1)]
+
+
+def test_sentences_keep_their_digits_and_lose_their_spaces(spark):
+    text = "12 ab cd. \n\t Ef gh 10\n 1 second 21 \n 2 third 2 . Fourth 33"
+    rows = corpus.plain_sentences(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), "doc_id", "text").collect()
+    assert [r["sentence"] for r in rows] == ["12 ab cd.", "Ef gh 10", "1 second 21", "2 third 2 .", "Fourth 33"]
