@@ -35,6 +35,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame, key: str, share: int) -> DataFrame:
+    """Rows dealt by a key into parts of about ``share`` bytes as stored, and into no fewer than four a core: a task's work and
+    memory follow neither the layout of the files nor their size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // share)), key)
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents")
 
@@ -448,14 +455,13 @@ sav AS (SELECT doc_id, annotator, arg_max(law_id, seq) AS law_id, arg_max(articl
 
 
 def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = _read(spark, sf_dir, "lineitem")
+    l = _dealt(_read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "l_orderkey", 1 << 18)
     who = F.element_at(F.array(F.lit("ann1"), F.lit("ann2"), F.lit("ann3")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     raw = l.select(
         F.col("l_orderkey").alias("doc_id"), who.alias("annotator"), F.col("l_linenumber").alias("seq"), (F.col("l_suppkey") % 5).alias("law_id"),
         (F.col("l_partkey") % 7).cast("string").alias("article"), F.lit("").alias("point"), F.lit(None).cast("string").alias("subpoint"),
     )
-    w = raw.groupBy("doc_id", "annotator", "seq").agg(F.max_by(F.struct("law_id", "article", "point", "subpoint"), F.struct("law_id", "article")).alias("r"))
-    return annotation.last_saves(w.select("doc_id", "annotator", "seq", "r.*"))
+    return annotation.last_saves(raw, ["law_id", "article"])
 
 
 _SAVED_SQL = _LABELS.replace("FROM lineitem)", "FROM (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey % 5 DESC, CAST(l_partkey % 7 AS VARCHAR) DESC) = 1))")

@@ -290,3 +290,27 @@ def test_sentences_keep_their_digits_and_lose_their_spaces(spark):
     text = "12 ab cd. \n\t Ef gh 10\n 1 second 21 \n 2 third 2 . Fourth 33"
     rows = corpus.plain_sentences(spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string"), "doc_id", "text").collect()
     assert [r["sentence"] for r in rows] == ["12 ab cd.", "Ef gh 10", "1 second 21", "2 third 2 .", "Fourth 33"]
+
+
+def test_agreement_and_outcomes_by_brute_force(spark):
+    """Odd rows: repeated links, links of a record that is not saved, records without links, an adjudicator, nulls."""
+    saved = [("x", 1), ("y", 1), ("x", 2), ("y", 2), ("x", 2), ("z", 2), ("adjudicator", 2), ("x", 3), ("y", 3), ("z", 4), (None, 4)]
+    rows = [("x", 1, 7, "1"), ("x", 1, 7, "1"), ("y", 1, 7, "1"), ("x", 2, 7, None), ("y", 2, 7, None), ("y", 2, 8, "2"), ("adjudicator", 2, 9, "9"), ("q", 1, 7, "1"), ("z", 1, 7, "1")]
+    links = spark.createDataFrame([(*r, None, None) for r in rows], "annotator string, doc_id int, law_id int, article string, point_article string, subpoint_article string")
+    records = spark.createDataFrame(saved, "annotator string, doc_id int")
+    of = lambda who, doc: Counter(r[2:] for r in rows if r[:2] == (who, doc))
+    wanted = set()
+    for a, b in (("x", "y"), ("x", "z"), ("y", "z")):
+        docs = {d for w, d in saved if w == a} & {d for w, d in saved if w == b}
+        both = sum(sum((of(a, d) & of(b, d)).values()) for d in docs)
+        every = sum(sum((of(a, d) + of(b, d)).values()) for d in docs)
+        wanted |= {(a, b, 2 * both / every if every else 1.0, len(docs))} if docs else set()
+    assert set(one(annotation.agreement(links, records))) == wanted
+    assert set(one(annotation.outcomes(links, records))) == {(1, "conflict", 2), (2, "adjudicated", 4), (3, "unanimous", 2), (4, "unanimous", 2)}
+    assert [(r["doc_id"], r["annotator"], r["law_id"], r["outcome"]) for r in annotation.gold(links, records).collect()] == [(2, "adjudicator", 9, "adjudicated")]
+    assert not {"SortMergeJoin", "Window"} & set(re.findall(r"\w+", annotation.outcomes(links, records)._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_last_saves_by_seq_and_ties(spark):
+    raw = spark.createDataFrame([("x", 1, 1, 5), ("x", 1, 2, 3), ("x", 1, 2, 4), ("y", 1, None, 1), ("y", 1, 0, None)], "annotator string, doc_id int, seq int, law_id int")
+    assert set(one(annotation.last_saves(raw, ["law_id"]))) == {("x", 1, 2, 4), ("y", 1, 0, None)}
