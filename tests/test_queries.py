@@ -108,3 +108,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_keys_of_texts_are_dealt_over_all_cores(spark, sf):
+    """A small file is one split, and was one task of all texts."""
+    assert queries._orders_text(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    keys = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
+    assert queries._dealt(keys, "o_orderkey", 10).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
