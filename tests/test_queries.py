@@ -1,3 +1,4 @@
+import re
 import subprocess
 import sys
 from collections import Counter
@@ -115,3 +116,11 @@ def test_keys_of_texts_are_dealt_over_all_cores(spark, sf):
     assert queries._orders_text(spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
     keys = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey")
     assert queries._dealt(keys, "o_orderkey", 10).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["evaluate_extraction"])
+def test_the_kernel_gets_texts_of_dealt_keys(spark, sf, name):
+    """Its tasks were the splits of the scan, however many keys a split held."""
+    below = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
+    dealt = re.search(r"Exchange hashpartitioning\(o_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", below)
+    assert dealt and int(dealt[1]) >= 4 * spark.sparkContext.defaultParallelism
