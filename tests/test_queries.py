@@ -118,7 +118,7 @@ def test_keys_of_texts_are_dealt_over_all_cores(spark, sf):
     assert queries._dealt(keys, "o_orderkey", 10).rdd.getNumPartitions() > 4 * spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["evaluate_extraction", "extract_links", "extract_with_many_names"])
+@pytest.mark.parametrize("name", ["evaluate_extraction", "extract_links", "extract_with_many_names", "links_in_text_order"])
 def test_the_kernel_gets_texts_of_dealt_keys(spark, sf, name):
     """Its tasks were the splits of the scan, however many keys a split held."""
     below = queries.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[1]
